@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.llm import byte_bpe, exact_dedup, language, mixing, quality, warc
+from lodespark.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, quality, warc
 from lodespark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -35,7 +39,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op6_warc, op7_byte_bpe, op8_pareto_mix, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op2_exact_dedup, op5_minhash, op6_warc, op7_byte_bpe, op8_pareto_mix, op9_language_id, op10_quality)}
 
 
 EXACT_DEDUP = """
