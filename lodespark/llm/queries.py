@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespark.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, quality, vector_links, warc
+from lodespark.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, quality, suffix_dedup, vector_links, warc
 from lodespark.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"), length=200)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_vector_links, op5_minhash, op6_warc, op7_byte_bpe, op8_pareto_mix, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_vector_links, op5_minhash, op6_warc, op7_byte_bpe, op8_pareto_mix, op9_language_id, op10_quality)}
 
 
 EXACT_DEDUP = """
@@ -82,6 +86,21 @@ FROM r
 """
 
 
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS INTEGER), 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) / 2 - 199 AS BIGINT))) AS i FROM d WHERE len(h) >= 400)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS n FROM p) WHERE n > 1),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev, max(b) OVER (PARTITION BY doc_id) AS last FROM s),
+t AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+             string_agg(substr(h, CAST(2 * prev + 1 AS INTEGER), CAST(2 * (a - prev) AS INTEGER)), '' ORDER BY a) || any_value(substr(h, CAST(2 * last + 1 AS INTEGER))) AS kept
+      FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
 VECTOR_LINKS = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS norm
@@ -98,4 +117,4 @@ FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP, "op3_vector_links": VECTOR_LINKS, "op6_warc": WARC, "op8_pareto_mix": PARETO_MIX}
+    return {"op1_suffix_dedup": SUFFIX_DEDUP, "op2_exact_dedup": EXACT_DEDUP, "op3_vector_links": VECTOR_LINKS, "op6_warc": WARC, "op8_pareto_mix": PARETO_MIX}
