@@ -247,6 +247,13 @@ def predict_languages(docs: DataFrame, model: Model | None, text_col: str = "tex
     return rows.mapInArrow(predict, StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows, with their own columns only, whose language is not ``und``; columns called lang_pred or score survive."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    known = predict_languages(plain, model, f"c{docs.columns.index(text_col)}").where(F.col("lang_pred") != "und")
+    return known.drop("lang_pred", "score").toDF(*docs.columns)
+
+
 def _slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` characters together."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)

@@ -35,7 +35,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
 
     Sources in order of code points, null last, get the weights in turn and share all words; a target stops at
     MAX_REPEATS times its source's size, and the excess is shared again by weight. With every source's cap / weight in
-    order, the caps bind for a prefix; the level of the rest follows from two running sums.
+    order, the caps bind for a prefix; the level of the rest follows from two running sums. Past the first source that its
+    cap does not bind these sums only fall, so its level is the largest of those that keep within their caps.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     s = s.withColumn("at", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -45,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("left", F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     s = s.withColumn("rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    level = F.min(F.when(F.col("left") / F.col("rest") <= F.col("cap") / F.col("weight"), F.col("left") / F.col("rest"))).over(whole)
+    level = F.max(F.when(F.col("left") / F.col("rest") <= F.col("cap") / F.col("weight"), F.col("left") / F.col("rest"))).over(whole)
     return s.withColumn("level", level).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 

@@ -78,7 +78,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         elif b > a:
             short = np.uint64(b - a)
             for w in words[a:b]:
-                short = _mix(np.array([short * np.uint64(31) + w]))[0]
+                short = _mix(np.array([short]) * np.uint64(31) + w)[0]
             out.append(np.array([short], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))

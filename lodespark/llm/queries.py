@@ -75,7 +75,7 @@ WITH RECURSIVE d AS (
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS weight, 3.0::DOUBLE * sum(size) AS cap FROM d GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, encode(source) NULLS LAST) AS k FROM s),
 v AS (SELECT *, (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining, sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM o),
-level AS (SELECT min(remaining / rest) AS level FROM v WHERE remaining / rest <= cap / weight),
+level AS (SELECT max(remaining / rest) AS level FROM v WHERE remaining / rest <= cap / weight),
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap))::DOUBLE AS target FROM v, level),
 p AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS copies, (CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS p FROM t),
 q AS (SELECT d.*, p.source_size, p.target, p.copies, p.p, floor(p.target + 0.5) - p.copies * p.source_size AS remain, (d.u / (1 - d.u)) / (CASE WHEN p.p > 0 THEN p.p / (1 - p.p) END) AS q FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
