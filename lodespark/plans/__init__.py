@@ -1 +1,21 @@
+"""Registered queries: each module has ``QUERIES`` (name: (function, oracle SQL or None))."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def registry() -> dict[str, tuple[Query, str | None]]:
+    from lodespark.plans import coverage, evaluation, graph, search
+
+    out: dict[str, tuple[Query, str | None]] = {}
+    for module in (coverage, search, evaluation, graph):
+        clash = out.keys() & module.QUERIES.keys()
+        if clash:
+            raise ValueError(f"two queries are called {clash}")
+        out |= module.QUERIES
+    return out
