@@ -10,10 +10,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registry() -> dict[str, tuple[Query, str | None]]:
-    from lodespark.plans import coverage, evaluation, graph, literature, ranking, search
+    from lodespark.plans import coverage, evaluation, graph, literature, ranking, search, signals, texts
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (coverage, search, ranking, evaluation, graph, literature):
+    for module in (coverage, search, ranking, evaluation, graph, literature, texts, signals):
         clash = out.keys() & module.QUERIES.keys()
         if clash:
             raise ValueError(f"two queries are called {clash}")
