@@ -13,6 +13,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Rounds of a merge at least: words are as long as this allows.
+ROUNDS = 5
+
+
 def stable_order(keys: np.ndarray) -> np.ndarray:
     """Stable argsort of non-negative integers by radix passes of 16 bits."""
     order = np.argsort(keys.astype(np.uint16), kind="stable")
@@ -31,19 +35,40 @@ class Strings:
     def __init__(self, strings: list[bytes], q: int):
         # one byte more ends each string, so that each of its phases has an end of its own
         self.q, self.n = q, sum(map(len, strings)) + len(strings)
-        data = np.frombuffer(b"\0".join(strings) + b"\0" * (q + 1), np.uint8)
+        data = np.frombuffer(b"\0".join(strings) + b"\0" * 9, np.uint8)
         lengths = np.array([len(s) + 1 for s in strings], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.owner = np.repeat(np.arange(len(strings), dtype=np.int32), lengths)
         self.at = np.arange(self.n) - self.offsets[self.owner]  # place in the own string
         self.left = lengths[self.owner] - 1 - self.at  # bytes from there to its end
+        base = min(q & -q, 8)  # packed into integers first, then joined in pairs up to q bytes
         word = np.zeros(self.n, np.uint64)
-        for k in range(q):
+        for k in range(base):
             word = (word << np.uint64(8)) | data[k : k + self.n]
-        full = self.left >= q
-        self.rank = np.zeros(self.n, np.int64)
+        rank, width = self._ranks(word, base), base
+        joined, done = np.zeros(self.n, np.int64), 0
+        while True:
+            if q & width:
+                joined = self._ranks(self._pair(joined, rank, done), done + width) if done else rank
+                done += width
+            if 2 * width > q:
+                break
+            rank, width = self._ranks(self._pair(rank, rank, width), 2 * width), 2 * width
+        self.rank = joined
+
+    def _pair(self, a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+        """For each place a number that orders by a there, then by b ``shift`` bytes on."""
+        then = np.zeros(self.n, np.int64)
+        then[: self.n - shift] = b[shift:]
+        return a * (int(b.max(initial=0)) + 1) + then
+
+    def _ranks(self, keys: np.ndarray, width: int) -> np.ndarray:
+        """Ranks from 1 of the places with ``width`` bytes left; 0 for the others."""
+        full = self.left >= width
+        out = np.zeros(self.n, np.int64)
         if full.any():
-            self.rank[full] = np.unique(word[full], return_inverse=True)[1] + 1
+            out[full] = np.unique(keys[full], return_inverse=True)[1] + 1
+        return out
 
     def before(self, places: np.ndarray) -> np.ndarray:
         """The symbol before each suffix: the rank of the word before it, 0 at a sequence's start."""
@@ -118,7 +143,7 @@ def merge(s: Strings, bounds: list[int], words: int) -> tuple[np.ndarray, np.nda
 
 def repeated_starts(strings: list[bytes], length: int, shard_bytes: int = 1 << 17) -> np.ndarray:
     """For every byte of the strings, end to end, whether the ``length`` bytes from it on lie in its string and start at another byte too."""
-    q = next(q for q in (8, 4, 2, 1) if length % q == 0)
+    q = max(q for q in range(1, length + 1) if length % q == 0 and (q == 1 or length // q >= ROUNDS))
     s = Strings(strings, q)
     if not s.n:
         return np.zeros(0, bool)

@@ -144,13 +144,14 @@ def fit(stats: DataFrame, labels: DataFrame):
 
     def normal(batch):
         z, y = fourier(_matrix(batch.column("stats"))), batch.column("y").to_numpy()
-        yield 0, np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        yield from enumerate(np.column_stack([z.T @ z, z.T @ y]))  # a key for each row of the system spreads the sums
 
     d = FEATURES + 1
-    g = _summed(rows, ["stats", "y"], normal)[0]
+    g = _summed(rows, ["stats", "y"], normal)
+    system = np.stack([g[k] for k in range(d)])
     ridge = RIDGE * np.eye(d)
     ridge[-1, -1] = 1e-6
-    beta = np.linalg.solve(g[: d * d].reshape(d, d) + ridge, g[d * d :])
+    beta = np.linalg.solve(system[:, :d] + ridge, system[:, d])
 
     def bins(x: np.ndarray) -> np.ndarray:
         return np.clip(((fourier(x) @ beta + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)

@@ -5,6 +5,10 @@ is least (the first of equals), which depends on the string alone, so equal stri
 with one anchor are a segment; anchors met once cannot repeat and are dropped. Segments that are equal as a whole are
 told by their hashes. Where an anchor has different segments, one text of each is fetched, and the transforms of
 shards of them are merged to find the strings they share. Spans return to their documents, which are read again.
+
+Hot passages: segments that are equal within one batch of texts leave its task once, with their number, and their spans
+apart. Anchors with very many different segments (a common line in ever new surroundings) would fill a task; their
+starts are compared one by one instead, by 128-bit hashes that are counted before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from lodespark.llm.common import cut
 
 #: Bytes of an anchor; bits of the place that break ties between hashes; bytes whose transforms one call merges.
 ANCHOR, PLACE_BITS, MERGE_BYTES = 64, 31, 1 << 20
+#: Different segments from which an anchor counts as wide.
+WIDE = 2000
 _RNG = np.random.default_rng(424242)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -106,22 +112,39 @@ def _chunks(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]
         yield at, len(texts)
 
 
+def _collapsed(anchor: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each different segment, its number, places of the segments that are not alone)."""
+    mixed = anchor ^ (whole * np.int64(0x2545F4914F6CDD1D))
+    _, first, group, count = np.unique(mixed, return_index=True, return_inverse=True, return_counts=True)
+    if (anchor[first][group] != anchor).any() or (whole[first][group] != whole).any():  # the mixture of two is one
+        return np.arange(len(anchor)), np.ones(len(anchor), np.int64), np.zeros(0, np.int64)
+    return first, count, np.flatnonzero(count[group] > 1)
+
+
 def _found(rows: DataFrame, length: int) -> DataFrame:
-    """(id, at, bytes, anchor, whole): every segment of every (id, text) row."""
+    """(id, at, bytes, anchor, whole, n): the different segments of each batch of (id, text) rows and their number.
+
+    Segments that are not alone in their batch are repeated for sure: they follow as rows with n = 0, dealt by place.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("id"), [t or b"" for t in batch.column("text").to_pylist()]
             for a, b in _chunks(texts):
                 text, at, size, anchor, whole = segments(texts[a:b], length)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + a)), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(anchor, pa.int64()), pa.array(whole, pa.int64())], ["id", "at", "bytes", "anchor", "whole"])
+                first, count, sure = _collapsed(anchor, whole)
+                pick = np.concatenate([first, sure])
+                n = np.concatenate([count, np.zeros(len(sure), np.int64)])
+                anchor = np.concatenate([anchor[first], whole[sure] ^ (sure * np.int64(0x2545F4914F6CDD1D))])
+                whole = pa.array(whole[pick], pa.int64(), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[pick] + a)), pa.array(at[pick], pa.int32()), pa.array(size[pick], pa.int32()), pa.array(anchor, pa.int64()), whole, pa.array(n, pa.int32())], ["id", "at", "bytes", "anchor", "whole", "n"])
 
-    return rows.mapInArrow(find, f"id {rows.schema['id'].dataType.simpleString()}, at int, bytes int, anchor bigint, whole bigint")
+    return rows.mapInArrow(find, f"id {rows.schema['id'].dataType.simpleString()}, at int, bytes int, anchor bigint, whole bigint, n int")
 
 
 def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, id, at, times, text): the bytes of the wanted segments, cut out where their documents meet them."""
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "at", "bytes", "times")).alias("parts"))
+    """(anchor, id, at, times, kinds, text): the bytes of the wanted segments, cut out where their documents meet them."""
+    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "at", "bytes", "times", "kinds")).alias("parts"))
     joined = rows.join(lists, "id")
 
     def slice_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +152,12 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 text = batch.column("text")[k].as_py() or b""
                 parts = batch.column("parts")[k].values.flatten()
-                anchor, at, size, times = parts
+                anchor, at, size, times, kinds = parts
                 cuts = [text[x : x + n] for x, n in zip(at.to_pylist(), size.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([anchor, batch.column("id").take(pa.array([k] * len(cuts), pa.int64())), at, times, pa.array(cuts, pa.binary())], ["anchor", "id", "at", "times", "text"])
+                yield pa.RecordBatch.from_arrays([anchor, batch.column("id").take(pa.array([k] * len(cuts), pa.int64())), at, times, kinds, pa.array(cuts, pa.binary())], ["anchor", "id", "at", "times", "kinds", "text"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return joined.select("id", "text", "parts").mapInArrow(slice_out, f"anchor bigint, id {kind}, at int, times bigint, text binary")
+    return joined.select("id", "text", "parts").mapInArrow(slice_out, f"anchor bigint, id {kind}, at int, times bigint, kinds bigint, text binary")
 
 
 def _shared(parts: DataFrame, length: int) -> DataFrame:
@@ -176,16 +199,37 @@ def _shared(parts: DataFrame, length: int) -> DataFrame:
     return parts.repartition("anchor").sortWithinPartitions("anchor", "id", "at").mapInArrow(merge, f"id {kind}, start bigint, stop bigint")
 
 
+def _shared_by_start(parts: DataFrame, length: int) -> DataFrame:
+    """What ``_shared`` finds, for segments of wide anchors: every start by the hash of its string, counted."""
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, at, times, text in zip(*(batch.column(c) for c in ("id", "at", "times", "text")), strict=True):
+                text, at = text.as_py(), at.as_py()
+                places = range(len(text) - length + 1)
+                h = [xxhash.xxh3_128_intdigest(text[k : k + length]) for k in places]
+                own = pa.array([i.as_py()] * len(h), i.type)
+                yield pa.RecordBatch.from_arrays([own, pa.array([at + k for k in places], pa.int64()), pa.array([times.as_py()] * len(h), pa.int64()), pa.array([x >> 65 for x in h], pa.int64()), pa.array([x & (2**63 - 1) for x in h], pa.int64())], ["id", "start", "times", "a", "b"])
+
+    kind = parts.schema["id"].dataType.simpleString()
+    rows = parts.mapInArrow(starts, f"id {kind}, start bigint, times bigint, a bigint, b bigint")
+    many = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.where("times = 1").join(many, ["a", "b"], "left_semi").select("id", "start", (F.col("start") + length).alias("stop"))
+
+
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(id, start, stop): byte ranges of (id, text) rows that repeated strings cover; they may overlap."""
     found = _found(rows.where("id IS NOT NULL"), length)
-    by_anchor = Window.partitionBy("anchor")
-    many = found.withColumn("n", F.count(F.lit(1)).over(by_anchor)).withColumn("lo", F.min("whole").over(by_anchor)).withColumn("hi", F.max("whole").over(by_anchor)).where("n > 1")
-    equal = Window.partitionBy("anchor", "whole")
-    many = many.withColumn("times", F.count(F.lit(1)).over(equal)).withColumn("k", F.row_number().over(equal.orderBy("id", "at")))
-    many = cut(many.where("times > 1 OR lo != hi").select("id", "at", "bytes", "anchor", "times", ((F.col("lo") != F.col("hi")) & (F.col("k") == 1)).alias("one")))
-    whole = many.where("times > 1").select("id", F.col("at").cast("bigint").alias("start"), (F.col("at") + F.col("bytes")).cast("bigint").alias("stop"))
-    return whole.unionByName(_shared(_texts_of(rows, many.where("one")), length))
+    by_anchor, equal = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
+    many = found.withColumn("total", F.sum("n").over(by_anchor)).where("n = 0 OR total > 1")
+    many = many.withColumn("times", F.sum("n").over(equal)).withColumn("k", F.row_number().over(equal.orderBy("id", "at")))
+    many = many.withColumn("kinds", F.sum(F.when((F.col("k") == 1) & (F.col("n") > 0), 1).otherwise(0)).over(by_anchor))
+    one = (F.col("n") > 0) & (F.col("kinds") > 1) & (F.col("k") == 1)
+    many = cut(many.where((F.col("n") == 0) | (F.col("times") > 1) | (F.col("kinds") > 1)).select("id", "at", "bytes", "anchor", "n", "times", "kinds", one.alias("one")))
+    whole = many.where("n = 0 OR times > 1").select("id", F.col("at").cast("bigint").alias("start"), (F.col("at") + F.col("bytes")).cast("bigint").alias("stop"))
+    texts = cut(_texts_of(rows, many.where("one")))
+    narrow = _shared(texts.where(F.col("kinds") < WIDE), length)
+    return whole.unionByName(narrow).unionByName(_shared_by_start(texts.where(F.col("kinds") >= WIDE), length))
 
 
 def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
