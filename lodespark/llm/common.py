@@ -40,3 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a table of its own in the shared folder: like ``cut``, but compressed and read by column.
+
+    For wide results that are read in parts. The table stays until the shared folder is cleared.
+    """
+    at = fresh_dir(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

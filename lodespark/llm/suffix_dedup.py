@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodespark.llm.bwt import repeated_starts
-from lodespark.llm.common import cut
+from lodespark.llm.common import written
 
 #: Bytes of an anchor; bits of the place that break ties between hashes; bytes whose transforms one call merges.
 ANCHOR, PLACE_BITS, MERGE_BYTES = 64, 31, 1 << 20
@@ -225,9 +225,10 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     many = many.withColumn("times", F.sum("n").over(equal)).withColumn("k", F.row_number().over(equal.orderBy("id", "at")))
     many = many.withColumn("kinds", F.sum(F.when((F.col("k") == 1) & (F.col("n") > 0), 1).otherwise(0)).over(by_anchor))
     one = (F.col("n") > 0) & (F.col("kinds") > 1) & (F.col("k") == 1)
-    many = cut(many.where((F.col("n") == 0) | (F.col("times") > 1) | (F.col("kinds") > 1)).select("id", "at", "bytes", "anchor", "n", "times", "kinds", one.alias("one")))
+    many = many.where((F.col("n") == 0) | (F.col("times") > 1) | (F.col("kinds") > 1)).select("id", "at", "bytes", "anchor", "n", "times", "kinds", one.alias("one"))
+    many = written(many, "repeated-segments")
     whole = many.where("n = 0 OR times > 1").select("id", F.col("at").cast("bigint").alias("start"), (F.col("at") + F.col("bytes")).cast("bigint").alias("stop"))
-    texts = cut(_texts_of(rows, many.where("one")))
+    texts = written(_texts_of(rows, many.where("one")), "segment-texts")
     narrow = _shared(texts.where(F.col("kinds") < WIDE), length)
     return whole.unionByName(narrow).unionByName(_shared_by_start(texts.where(F.col("kinds") >= WIDE), length))
 
