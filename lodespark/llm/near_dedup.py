@@ -4,8 +4,8 @@ A task turns whole texts into sets of word-shingle hashes and takes 128 minima o
 candidate buckets; of every minimum only the low four bits are kept, packed into 64 bytes, and the share of equal
 groups of bits, corrected for chance, estimates the similarity of a candidate pair. Links are confirmed on the full
 sets. Equal sets are collapsed first. A bucket is never expanded into pairs: its members are compared with the bucket's
-smallest, and only members that this leaves outside that one's component meet the rest of the bucket, so no link
-between components is lost.
+smallest. Where this leaves a bucket with several components, links between these are found through the rarest shingles
+of the sets, one of which two linked sets must share, so none is lost.
 """
 
 from __future__ import annotations
@@ -87,6 +87,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least value of the set under each of the hash functions."""
+    hashes = hashes ^ _BASE  # a mixed zero is zero, which times anything would be the least
     out = np.full(HASHES, 2**64 - 1, np.uint64)
     for k in range(0, len(hashes), 512):
         np.minimum(out, (_MULTIPLIERS * hashes[k : k + 512]).min(1), out=out)
@@ -224,8 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(full_sets(rows.join(wanted, "id", "left_semi"), width))
     links = cut(confirmed(pairs, sets, percent))
     found = connected_components(links, "a", "b")
-    strays = _strays(members, found, bits, enough)
-    more = cut(confirmed(strays, sets, percent))
+    more = cut(confirmed(_likely(_strays(members, found, sets, percent), bits, enough), sets, percent))
     if not more.isEmpty():
         found = connected_components(links.union(more), "a", "b")
     # every set's component, then every document's
@@ -242,20 +242,43 @@ def _likely(pairs: DataFrame, bits: DataFrame, enough: int) -> DataFrame:
     return both.where(equal_minima(F.col("va"), F.col("vb")) >= enough).select("a", "b").distinct()
 
 
-def _strays(members: DataFrame, found: DataFrame, bits: DataFrame, enough: int) -> DataFrame:
-    """Pairs of a bucket that lie in different components, neither of them the bucket's smallest, and agree often enough.
+def _strays(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may still link: they share one of their rarest shingles.
 
-    At least one of the two lies outside the component of the bucket's smallest, so a bucket whose members are one
-    component (a group of near copies) gives nothing.
+    Of the shingles of two linked sets, in one order, the first ``n - ceil(percent * n / 100) + 1`` of either must meet.
+    Rare shingles come first in that order, so a near copy with changes enough of its own to link with nothing meets
+    nobody. Only sets of open buckets (those with members of several components) take part. Where a shingle's sets meet,
+    those of its commonest component are never compared with each other.
     """
-    at = found.select(F.col("node").alias("rep"), "component")
-    rows = members.join(at, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    home = at.select(F.col("rep").alias("first"), F.col("component").alias("home"))
-    rows = rows.join(home, "first", "left").withColumn("home", F.coalesce("home", "first")).where("rep != first")
-    outside = rows.where("component != home")
-    open_bands = outside.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(open_bands, "band", "left_semi").join(bits, "rep")
-    left = rows.where("component != home").select("band", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("bits").alias("bx"))
-    right = rows.select("band", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("bits").alias("by"), (F.col("component") == F.col("home")).alias("in_home"))
-    met = left.join(right, "band").where((F.col("cx") != F.col("cy")) & (F.col("in_home") | (F.col("x") < F.col("y"))) & (equal_minima(F.col("bx"), F.col("by")) >= enough))
+    labels = found.select(F.col("node").alias("rep"), "component")
+    rows = members.select("band", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_bands = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    open_reps = cut(rows.join(open_bands, "band", "left_semi").select("rep", "component").distinct())
+    shingles = _shingles(sets.join(open_reps.select(F.col("rep").alias("id")), "id", "left_semi"))
+    common = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # shingles of one set alone come first in its order and meet nothing: their number is enough
+    ranked = shingles.join(common, "hash").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("order"))
+    alone = F.col("n") - F.size("order")
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    first = ranked.where(take > 0).select("rep", "n", alone.alias("alone"), F.slice("order", 1, take.cast("int")).alias("order"))
+    first = first.select("rep", "n", "alone", F.posexplode("order").alias("at", "s")).select("rep", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("s.hash").alias("hash"))
+    first = cut(first.join(open_reps, "rep"))
+    kinds = first.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("hash").agg(F.max_by("component", F.struct("k", "component")).alias("home"), F.count(F.lit(1)).alias("kinds"))
+    first = first.join(kinds.where("kinds > 1").select("hash", "home"), "hash")
+    left = first.where("component != home").select("hash", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("component").alias("cx"))
+    right = first.select("hash", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("component").alias("cy"), (F.col("component") == F.col("home")).alias("in_home"))
+    rest = F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j"))  # the most they can share from here on
+    met = left.join(right, "hash").where((F.col("cx") != F.col("cy")) & (F.col("in_home") | (F.col("x") < F.col("y"))) & ((100 + percent) * rest >= percent * (F.col("nx") + F.col("ny"))))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _shingles(sets: DataFrame) -> DataFrame:
+    """(rep, n, hash): a row for each shingle of the sets."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column("hashes")[k].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.full(len(hashes), k))), pa.array(np.full(len(hashes), len(hashes))), pa.array(hashes)], ["rep", "n", "hash"])
+
+    return sets.select("id", "hashes").mapInArrow(spread, f"rep {sets.schema['id'].dataType.simpleString()}, n bigint, hash bigint")
