@@ -21,8 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Words whose ids a task keeps before it starts anew.
-KEPT_WORDS = 700_000
+#: Words and seams that a worker keeps; a full table becomes the old one, from which words still in use return.
+KEPT_WORDS, KEPT_SEAMS = 100_000, 250_000
 
 
 class Vocabulary:
@@ -59,7 +59,7 @@ class Vocabulary:
         The facing edges are unrolled from the last merge to the first. A merge over the seam of lower rank than every
         merge that would have hidden one of its two sides by then comes first, and breaks the pair up.
         """
-        if len(self.seams) > 1_000_000:
+        if len(self.seams) > KEPT_SEAMS:
             self.seams.clear()
         apart = self.seams[left, right] = self._apart(left, right)
         return apart
@@ -152,6 +152,7 @@ class Encoder:
         self.v, self.pattern = vocabulary(path), regex.compile(pattern)
         self.kept: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # by what follows a single space
+        self.old: dict[str, dict[str, bytes]] = {"kept": {}, "spaced": {}}
         self.bytes_of = [self.v.tokens.get(i, b"") for i in range(max(self.v.tokens) + 1)]
 
     def word(self, word: str) -> bytes:
@@ -162,18 +163,21 @@ class Encoder:
 
     def run(self, text: str) -> bytes:
         """Ids of a text in which any match may begin."""
-        kept, spaced, out = self.kept, self.spaced, []
+        out = []
         for w in self.pattern.findall(text):
-            where, key = (spaced, w[1:]) if w[0] == " " and len(w) > 1 and not w[1].isspace() else (kept, w)
-            if (ids := where.get(key)) is None:
-                ids = self.word(w)
-                self._keep(where, key, ids)
+            name, key = ("spaced", w[1:]) if w[0] == " " and len(w) > 1 and not w[1].isspace() else ("kept", w)
+            if (ids := getattr(self, name).get(key)) is None:
+                if (ids := self.old[name].get(key)) is None:
+                    ids = self.word(w)
+                self._keep(name, key, ids)
             out.append(ids)
         return b"".join(out)
 
-    def _keep(self, where: dict[str, bytes], key: str, ids: bytes) -> None:
+    def _keep(self, name: str, key: str, ids: bytes) -> None:
+        where = getattr(self, name)
         if len(where) >= KEPT_WORDS:
-            where.clear()
+            self.old[name], where = where, {}
+            setattr(self, name, where)
         if len(key) < 100:
             where[key] = ids
 
@@ -187,8 +191,10 @@ class Encoder:
                     chunk = rest[at]
                     if not chunk or chunk[0].isspace() or chunk[-1].isspace():  # such chunks are never kept
                         return self.run(text)
-                    parts[at] = self.run(" " + chunk)
-                    self._keep(self.spaced, chunk, parts[at])
+                    if (ids := self.old["spaced"].get(chunk)) is None:
+                        ids = self.run(" " + chunk)
+                    parts[at] = ids
+                    self._keep("spaced", chunk, ids)
         if rest and first and first[-1].isspace():
             return self.run(text)
         return self.run(first) + b"".join(parts)

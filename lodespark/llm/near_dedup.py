@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -108,15 +109,14 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _chunks(texts: list[bytes | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or b"") + 1
-        if size >= most:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def _chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts) of runs with about ``most`` bytes; null is empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, [t or b"" for t in texts.slice(at, stop - at).to_pylist()]
+        at = stop
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,10 +128,9 @@ def sketches(rows: DataFrame, width: int, least: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            for a, b in _chunks(texts):
+            for at, texts in _chunks(batch.column("text")):
                 n, sa, sb, bits, bands = [], [], [], [], []
-                for s in shingle_sets(texts[a:b], width):
+                for s in shingle_sets(texts, width):
                     whole = xxhash.xxh3_128_intdigest(s.tobytes())
                     n.append(len(s))
                     sa.append(whole >> 65)
@@ -139,7 +138,7 @@ def sketches(rows: DataFrame, width: int, least: int) -> DataFrame:
                     m = minima(s) if len(s) >= least else None
                     bits.append(packed_bits(m).tolist() if m is not None else None)
                     bands.append(band_keys(m).tolist() if m is not None else None)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "set_a", "set_b", "bits", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "set_a", "set_b", "bits", "bands"])
 
     return rows.mapInArrow(sketch, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, set_a bigint, set_b bigint, bits array<bigint>, bands array<bigint>")
 
@@ -149,10 +148,9 @@ def full_sets(rows: DataFrame, width: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            for a, b in _chunks(texts):
-                found = [s.tobytes() for s in shingle_sets(texts[a:b], width)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(found, pa.binary())], ["id", "hashes"])
+            for at, texts in _chunks(batch.column("text")):
+                found = [s.tobytes() for s in shingle_sets(texts, width)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), pa.array(found, pa.binary())], ["id", "hashes"])
 
     return rows.mapInArrow(sets, f"id {rows.schema['id'].dataType.simpleString()}, hashes binary")
 
