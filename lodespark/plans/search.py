@@ -157,8 +157,8 @@ QUERIES = {
     ),
     "evidence_snippets": (
         _snippets,
-        r"""WITH q AS (SELECT item_id, lower(array_to_string(regexp_split_to_array(text, '\s+')[1:3], ' ')) AS phrase FROM benchmark), h AS (SELECT item_id, doc_id, text, phrase, instr(lower(text), phrase) AS at FROM documents JOIN q ON contains(lower(text), phrase))
-        SELECT item_id, doc_id, substr(text, greatest(1, at - 48), at + len(phrase) + 72 - greatest(1, at - 48)) AS snippet FROM h""",
+        r"""WITH q AS (SELECT item_id, lower(array_to_string(regexp_split_to_array(text, '\s+')[1:3], ' ')) AS phrase FROM benchmark), h AS (SELECT item_id, doc_id, text, phrase, instr(lower(text), phrase) AS pos FROM documents JOIN q ON contains(lower(text), phrase))
+        SELECT item_id, doc_id, substr(text, greatest(1, pos - 48), pos + len(phrase) + 72 - greatest(1, pos - 48)) AS snippet FROM h""",
     ),
     "passage_containment": (_containment, "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
     "cosine_topk": (lambda s, d: R.top_k(S.search_pairs(s, d).select("query_id", "doc_id", F.col("cos").alias("score")), 10), f"WITH {S.RUNS} SELECT query_id, doc_id, score, rank FROM runs WHERE system = 'cos' AND rank <= 10"),
