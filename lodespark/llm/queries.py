@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodespark.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, quality, suffix_dedup, vector_links, warc
+from lodespark.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, suffix_dedup, vector_links, warc
 from lodespark.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links.link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -47,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_vector_links, op5_minhash, op6_warc, op7_byte_bpe, op8_pareto_mix, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_vector_links, op4_line_dedup, op5_minhash, op6_warc, op7_byte_bpe, op8_pareto_mix, op9_language_id, op10_quality)}
 
 
 EXACT_DEDUP = """
