@@ -108,14 +108,45 @@ def strongest_per_pair(edges: DataFrame) -> DataFrame:
 
 
 def token_blocked_matches(left: DataFrame, right: DataFrame, cap: int, threshold: float) -> DataFrame:
-    """(id, other, similarity): titles whose tokens block them together and whose edit similarity reaches the threshold.
+    """(id, other, similarity): titles that share a token and whose edit similarity reaches the threshold.
 
-    Expects (id, title, tokens). Tokens in more than ``cap`` titles block nothing (the feature of the operator: such
-    words say nothing about a title); similarity is 1 - levenshtein / longer length, in the JVM.
+    Expects (id, title, tokens). Tokens in at most ``cap`` titles are joined on; more frequent ones go by
+    ``_frequent_pairs``, which finds the same pairs. Similarity is 1 - levenshtein / longer length, in the JVM.
     """
     r = right.select(F.col("id").alias("other"), F.col("title").alias("other_title"), F.explode("tokens").alias("token"))
-    rare = r.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap).select("token")
+    counts = r.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     l = left.select("id", "title", F.explode("tokens").alias("token"))
-    pairs = l.join(rare, "token").join(r, "token").where(F.col("id") != F.col("other")).select("id", "title", "other", "other_title").distinct()
-    sim = 1 - F.levenshtein("title", "other_title") / F.greatest(F.length("title"), F.length("other_title"))
-    return pairs.select("id", "other", F.round(sim, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    rare = l.join(counts.where(F.col("n") <= cap).select("token"), "token").join(r, "token").select("id", "title", "other", "other_title")
+    often = counts.where(F.col("n") > cap).select("token")
+    lo, ro = l.join(often, "token", "left_semi"), r.join(often, "token", "left_semi")
+    near = _frequent_pairs(lo.select("title", "token").distinct(), ro.select("other_title", "token").distinct(), threshold)
+    near = near.join(lo.select("id", "title").distinct(), "title").join(ro.select("other", "other_title").distinct(), "other_title").select("id", "title", "other", "other_title")
+    pairs = rare.unionByName(near).where(F.col("id") != F.col("other")).distinct()
+    return pairs.select("id", "other", _similarity().alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _similarity() -> Column:
+    return F.round(1 - F.levenshtein("title", "other_title") / F.greatest(F.length("title"), F.length("other_title")), 6)
+
+
+def _frequent_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(title, other_title) of (title, token) and (other_title, token) that share a token and reach the threshold.
+
+    An edit removes at most two of a title's pairs of letters. So, with at most k edits, two titles share one of their
+    2 k + 1 rarest pairs, and token and pair make the key. A title with fewer pairs meets all titles of its token.
+    """
+    least = max(threshold - 5e-7, 1e-6)  # what rounds to the threshold
+    edits = F.floor(F.length("title") * ((1 - least) / least) + 1e-9)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("title") - 1, F.lit(1))), lambda k: F.substring(F.col("title"), k, F.lit(2))))
+    titles = left.select("title").union(right.select("other_title")).distinct().select("title", grams.alias("grams"), (2 * edits + 1).alias("k"))
+    few = titles.where(F.size("grams") < F.col("k")).select("title")
+    each = titles.where(F.size("grams") >= F.col("k")).select("title", "k", F.explode("grams").alias("gram"))
+    order = Window.partitionBy("title").orderBy("n", "gram")
+    each = each.join(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").withColumn("place", F.row_number().over(order))
+    prefix = each.where("place <= k").select("title", "gram")
+    other = lambda t: t.withColumnRenamed("title", "other_title")
+    pairs = left.join(prefix, "title").join(right.join(other(prefix), "other_title"), ["token", "gram"]).select("title", "other_title")
+    pairs = pairs.unionByName(left.join(few, "title", "left_semi").join(right, "token").select("title", "other_title"))
+    pairs = pairs.unionByName(left.join(right.join(other(few), "other_title", "left_semi"), "token").select("title", "other_title"))
+    apart = F.abs(F.length("title") - F.length("other_title")) <= (1 - least) * F.greatest(F.length("title"), F.length("other_title")) + 1e-9
+    return pairs.where(apart).distinct().where(_similarity() >= threshold)
