@@ -40,17 +40,17 @@ def cooccurrence(findings: DataFrame, least: int) -> DataFrame:
 def cross_finding_edges(findings: DataFrame, min_regions: int = 1) -> DataFrame:
     """(a, b, relation, n_regions, confidence): findings of different papers on one task that share regions.
 
-    Equal directions support, opposite ones contradict, unless one is negated. The bucket (region, task) is an equi-join;
-    shared regions are then counted per pair, so a pair met in several buckets is one row. Year must be equal: that
-    keeps buckets small, as the time context of a finding does.
+    Equal directions support, opposite ones contradict, unless one is negated. The bucket (region, task) is an equi-join
+    that leaves out pairs of no relation; shared regions are then counted per pair, so a pair met in several buckets is
+    one row.
     """
-    f = findings.select("finding_id", "paper_id", "task", "direction", "negated", "year", F.explode("regions").alias("region"))
-    a, b = (f.select("region", "task", "year", *(F.col(c).alias(f"{p}_{c}") for c in ("finding_id", "paper_id", "direction", "negated"))) for p in "ab")
-    j = a.join(b, ["region", "task", "year"]).where((F.col("a_finding_id") < F.col("b_finding_id")) & (F.col("a_paper_id") != F.col("b_paper_id")))
-    g = j.groupBy("a_finding_id", "b_finding_id").agg(F.count(F.lit(1)).alias("n_regions"), *(F.first(c).alias(c) for c in ("a_direction", "b_direction", "a_negated", "b_negated")))
+    f = findings.select("finding_id", "paper_id", "task", "direction", "negated", F.explode("regions").alias("region"))
+    a, b = (f.select("region", "task", *(F.col(c).alias(f"{p}_{c}") for c in ("finding_id", "paper_id", "direction", "negated"))) for p in "ab")
+    j = a.join(b, ["region", "task"]).where((F.col("a_finding_id") < F.col("b_finding_id")) & (F.col("a_paper_id") != F.col("b_paper_id")))
     opposite = F.array_sort(F.array("a_direction", "b_direction")).isin(*(F.array(*map(F.lit, sorted(p))) for p in OPPOSITE))
     calm = ~F.col("a_negated") & ~F.col("b_negated")
     relation = F.when((F.col("a_direction") == F.col("b_direction")) & ~F.col("a_direction").isin("other", "correlation") & calm, "supports").when(opposite & calm, "contradicts").when(opposite, "direct_refutation")
+    g = j.where(relation.isNotNull()).groupBy("a_finding_id", "b_finding_id").agg(F.count(F.lit(1)).alias("n_regions"), *(F.first(c).alias(c) for c in ("a_direction", "b_direction", "a_negated", "b_negated")))
     confidence = F.least(F.when(relation == "supports", F.lit(0.95)).otherwise(F.lit(0.9)), 0.6 + 0.1 * F.col("n_regions"))
     out = g.where(F.col("n_regions") >= min_regions).select(F.col("a_finding_id").alias("a"), F.col("b_finding_id").alias("b"), relation.alias("relation"), "n_regions", F.round(confidence, 6).alias("confidence"))
     return out.where("relation IS NOT NULL")

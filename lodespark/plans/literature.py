@@ -57,7 +57,7 @@ QUERIES = {
     ),
     "cooccurrence_pairs": (lambda s, d: L.cooccurrence(S.findings(s, d), 2), f"{W}, x AS (SELECT finding_id, unnest(regions) AS r FROM findings) SELECT a.r AS a, b.r AS b, count(*) AS n, round(least(0.95::DOUBLE, 0.5::DOUBLE + 0.02::DOUBLE * count(*)), 6) AS confidence FROM x a JOIN x b USING (finding_id) WHERE a.r < b.r GROUP BY a.r, b.r HAVING count(*) >= 2"),
     "cross_finding_edges": (
-        lambda s, d: L.cross_finding_edges(S.findings(s, d), 3),
+        lambda s, d: L.cross_finding_edges(S.findings(s, d)),
         f"""{W}, x AS (SELECT * EXCLUDE regions, unnest(regions) AS region FROM findings),
         p AS (SELECT a.finding_id AS a, b.finding_id AS b, count(*) AS n_regions, any_value(a.direction) AS da, any_value(b.direction) AS db, any_value(a.negated OR b.negated) AS neg FROM x a JOIN x b USING (region, task, year) WHERE a.finding_id < b.finding_id AND a.paper_id <> b.paper_id GROUP BY ALL HAVING count(*) >= 3),
         r AS (SELECT a, b, n_regions, CASE WHEN da = db AND NOT neg THEN 'supports' WHEN da <> db AND NOT neg THEN 'contradicts' WHEN da <> db THEN 'direct_refutation' END AS relation FROM p)
