@@ -42,11 +42,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: With it, Spark removes a query's shuffle files when the query ends rather than when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` from a table of its own in the shared folder: like ``cut``, but compressed and read by column.
 
-    For wide results that are read in parts. The table stays until the shared folder is cleared.
+    For wide results that are read in parts. The shuffle files that made it go at once; the table stays until the shared
+    folder is cleared.
     """
     at = fresh_dir(df.sparkSession, name)
-    df.write.parquet(at)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(at)
