@@ -254,7 +254,7 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     return known.drop("lang_pred", "score").toDF(*docs.columns)
 
 
-def _slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` characters together."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
     at = 0

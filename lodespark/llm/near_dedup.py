@@ -49,7 +49,7 @@ class Powers:
 
     def grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 19)
             self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]), dtype=np.uint64)
             self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE)]), dtype=np.uint64)
 
@@ -71,7 +71,8 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     edge = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     runs = words.copy()
     for k in range(1, width):
-        runs[: len(runs) - k] = _mix(runs[: len(runs) - k] * np.uint64(0x2545F4914F6CDD1D) + words[k:])
+        n = max(0, len(runs) - k)  # a batch may have fewer words than a run
+        runs[:n] = _mix(runs[:n] * np.uint64(0x2545F4914F6CDD1D) + words[k : k + n])
     out = []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if b - a >= width:
@@ -109,7 +110,7 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _chunks(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """(place of the first, texts) of runs with about ``most`` bytes; null is empty."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = 0

@@ -177,18 +177,20 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """One partition for each archive; files of writes that did not finish are not in the manifest."""
+        """One partition for each archive; files of writes that did not finish are in no manifest."""
         from pyarrow import fs as pfs
 
         fs, at = _file_system(self.path)
-        manifest = f"{at}/{MANIFEST}"
-        if fs.get_file_info(manifest).type == pfs.FileType.File:
-            with fs.open_input_file(manifest) as f:
-                names = json.loads(f.read())
-        elif fs.get_file_info(at).type == pfs.FileType.File:
+        if fs.get_file_info(at).type == pfs.FileType.File:
             return [Archive(self.path)]
+        found = sorted(x.base_name for x in fs.get_file_info(pfs.FileSelector(at)))
+        if manifests := [n for n in found if n.startswith(MANIFEST)]:
+            names = []
+            for n in manifests:
+                with fs.open_input_file(f"{at}/{n}") as f:
+                    names += json.loads(f.read())
         else:
-            names = sorted(x.base_name for x in fs.get_file_info(pfs.FileSelector(at)) if x.base_name.endswith((".warc", ".warc.gz")))
+            names = [n for n in found if n.endswith((".warc", ".warc.gz"))]
         return [Archive(f"{self.path.rstrip('/')}/{n}") for n in names] or [Archive(None)]
 
     def _wanted(self, header: dict[str, str]) -> bool:
@@ -216,10 +218,13 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Writes rows (record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to, payload)."""
+    """Writes rows (record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to, payload).
 
-    def __init__(self, options: dict):
-        self.path = options["path"].rstrip("/")
+    Every commit leaves a manifest of its own, so archives of earlier commits stay; an overwrite removes the manifests before it.
+    """
+
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.roll = int(options.get("rollBytes", 256 << 20))
 
     def write(self, rows: Iterator[Row]) -> Written:
@@ -242,8 +247,16 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         fs, at = _file_system(self.path)
         fs.create_dir(at, recursive=True)
-        with fs.open_output_stream(f"{at}/{MANIFEST}") as f:
+        before = self._manifests(fs, at) if self.overwrite else []
+        with fs.open_output_stream(f"{at}/{MANIFEST}-{uuid.uuid4().hex}") as f:
             f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        for n in before:
+            fs.delete_file(f"{at}/{n}")
+
+    def _manifests(self, fs, at: str) -> list[str]:
+        from pyarrow import fs as pfs
+
+        return [x.base_name for x in fs.get_file_info(pfs.FileSelector(at)) if x.base_name.startswith(MANIFEST)]
 
     def abort(self, messages: list) -> None:
         fs, at = _file_system(self.path)
@@ -274,7 +287,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
