@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodespark.llm import byte_bpe, exact_dedup, language, mixing, near_dedup
 from lodespark.llm.common import fresh_dir, table
-from lodespark.session import ship_package
+from lodespark.session import prepare
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _columns(docs: DataFrame, of: DataFrame) -> DataFrame:
@@ -23,37 +31,50 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A low score is no reason to go: short clean texts have one.
     """
-    ship_package(spark)
+    prepare(spark)
     model = language.train_on(docs)
     return language.keep_known(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts only the document with the largest id stays; rows that repeat it in full stay together."""
-    ship_package(spark)
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return _columns(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi"), docs)
+    """Of equal texts only the document with the largest id stays; rows that repeat it in full stay together.
+
+    Null texts count as empty; a null id stays only if no other document has its text. An empty table stays empty.
+    """
+    prepare(spark)
+    name = _fresh(docs, "kept_id")
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return _columns(docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
-    ship_package(spark)
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return _columns(docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti"), docs)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays.
+
+    Documents without words and those with a null id link with nothing and stay. An empty table stays empty.
+    """
+    prepare(spark)
+    name = _fresh(docs, "gone_id")
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return _columns(docs.join(gone, F.col("doc_id") == F.col(name), "left_anti"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many whole copies of each document as the mix takes; a part of a copy counts if it is at least half of one."""
-    ship_package(spark)
-    mix = mixing.pareto_mix(docs).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    mix = mix.select(F.col("doc_id").alias("mix_id"), "size", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
-    rows = docs.withColumn("__size", mixing.words(F.col("text"))).join(mix, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("__size") == F.col("size")))
-    return _columns(rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
+    """As many whole copies of each document as the mix takes; a part of a copy counts if it is at least half of one.
+
+    Documents without words are taken no times and go; a null source is a source of its own. Rows with one id are told
+    apart by their sizes only. An empty table stays empty.
+    """
+    prepare(spark)
+    own, size, copies, mine, copy = (_fresh(docs, x) for x in ("mix_id", "mix_size", "mix_copies", "own_size", "copy_number"))
+    mix = mixing.pareto_mix(docs.select("doc_id", "text", "source")).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
+    mix = mix.select(F.col("doc_id").alias(own), F.col("size").alias(size), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(copies)).where(f"{copies} > 0")
+    rows = docs.withColumn(mine, mixing.words(F.col("text"))).join(mix, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(mine) == F.col(size)))
+    return _columns(rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row's whole text: (doc_id, n_tokens, ids)."""
-    ship_package(spark)
+    """Token ids of every row's whole text: (doc_id, n_tokens, ids). Null texts are empty and have no ids; an empty table stays empty."""
+    prepare(spark)
     rows = docs.select("doc_id", "text")
     coded = byte_bpe.encode_texts(rows, *byte_bpe.default_vocabulary())
     whole = F.when(F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.col("ids")).otherwise(F.raise_error(F.lit("ids do not decode to their text")).cast("binary"))

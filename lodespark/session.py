@@ -48,3 +48,15 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(at)
     _SHIPPED.add(app)
+
+
+#: Bytes of an Arrow batch. A batch exists in the JVM and in a Python worker, often with as much again in results, for each core.
+BATCH_BYTES = "8m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """What queries with Python stages need of a session: this package on the executors, and Arrow batches bounded by bytes unless the user has set them."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, BATCH_BYTES) == BATCH_BYTES:  # what is given counts only where the user has set nothing
+        spark.conf.set(key, BATCH_BYTES)
