@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Words that carry no meaning in a title.
-TITLE_STOP_WORDS = ("about", "after", "between", "from", "into", "over", "that", "their", "these", "this", "through", "under", "using", "with", "within")
+TITLE_STOP_WORDS = ("and", "are", "based", "data", "dataset", "datasets", "during", "for", "from", "human", "mouse", "neural", "neuronal", "of", "the", "using", "with")
 
 
 def normalize(x: Column) -> Column:
@@ -24,9 +24,18 @@ def tokens(x: Column) -> Column:
 
 
 def with_bigrams(words: Column) -> Column:
-    """The words and their adjacent pairs ``a_b``; one word has no pair."""
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    """The words and their adjacent pairs ``a_b``; one word has no pair. ``words`` is computed once, however long its expression."""
+
+    def both(w: Column) -> Column:
+        pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(F.array().cast("array<string>"))
+        return F.concat(w, pairs)
+
+    return F.get(F.transform(F.array(words), both), F.lit(0))
+
+
+def counted(words: Column) -> Column:
+    """The words, each as (len, term) with the number of all of them; computed once."""
+    return F.get(F.transform(F.array(words), lambda w: F.transform(w, lambda t: F.struct(F.size(w).alias("len"), t.alias("term")))), F.lit(0))
 
 
 def contains_phrase(normalized: Column, phrase: Column | str) -> Column:

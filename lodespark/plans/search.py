@@ -16,8 +16,8 @@ def _docs(spark, d):
     return S.table(spark, d, "documents").select("doc_id", "text", "source")
 
 
-def _index(spark, d, bigrams=True):
-    return R.postings(_docs(spark, d), {"body": F.col("text"), "source": F.col("source")}, bigrams)
+def _fields():
+    return {"body": F.col("text"), "source": F.col("source")}
 
 
 def _queries(spark, d, bigrams=True):
@@ -25,21 +25,29 @@ def _queries(spark, d, bigrams=True):
     return S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.with_bigrams(words) if bigrams else words).alias("term"))
 
 
+def _index(spark, d, bigrams=True):
+    return R.postings(_docs(spark, d), _fields(), bigrams)
+
+
 def _n(spark, d):
     return _docs(spark, d).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _parts(spark, d):
+    """Postings of the queries' terms, their idf, the fields' lengths and the queries."""
+    docs, queries = _docs(spark, d), _queries(spark, d)
+    index = R.postings(docs, _fields(), only=queries)
+    return index, R.idf_table(index, _n(spark, d)), R.field_lengths(docs, _fields()), queries
+
+
 def _bm25(spark, d, k=10, descending_ids=False):
-    index = _index(spark, d)
-    return R.bm25(index, R.idf_table(index, _n(spark, d)), _queries(spark, d), WEIGHTS, k, descending_ids)
+    return R.bm25(*_parts(spark, d), WEIGHTS, k, descending_ids)
 
 
 def _explain(spark, d):
     """Parts of the best document of each query."""
-    index = _index(spark, d)
-    idf = R.idf_table(index, _n(spark, d))
-    best = R.bm25(index, idf, _queries(spark, d), WEIGHTS, 1).select("query_id", "doc_id")
-    parts = R.bm25_parts(index, idf, _queries(spark, d), WEIGHTS).join(best, ["query_id", "doc_id"])
+    best = R.bm25(*_parts(spark, d), WEIGHTS, 1).select("query_id", "doc_id")
+    parts = R.bm25_parts(*_parts(spark, d), WEIGHTS).join(best, ["query_id", "doc_id"])
     return parts.select("query_id", "doc_id", "field", "term", F.round("part", 4).alias("part"))
 
 
@@ -52,14 +60,12 @@ def _snippets(spark, d):
     """The first hit of each benchmark passage's first three words in the documents that have them."""
     phrase = F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ")
     q = S.table(spark, d, "benchmark").select("item_id", F.lower(phrase).alias("phrase"))
-    rows = _docs(spark, d).join(F.broadcast(q), F.lower("text").contains(F.col("phrase")))
-    return rows.select("item_id", "doc_id", T.snippet(F.col("text"), F.col("phrase")).alias("snippet"))
+    return R.phrase_hits(_docs(spark, d), q).select("item_id", "doc_id", T.snippet(F.col("text"), F.col("phrase")).alias("snippet"))
 
 
 def _containment(spark, d):
     """Verbatim benchmark passages in documents."""
-    q = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return _docs(spark, d).join(q, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    return R.containment(_docs(spark, d), S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
 
 
 TOK = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[/_-]+', ' ', 'g'), '[^a-z0-9+]+', ' ', 'g')), ' '), lambda w: w <> '')"
@@ -89,8 +95,9 @@ TOP = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def _tfidf(spark, d):
-    index = R.postings(_docs(spark, d), {"body": F.col("text")}, bigrams=False)
-    return R.tfidf(index, R.idf_table(index, _n(spark, d), max_share=1.0), _queries(spark, d, False), 10)
+    queries = _queries(spark, d, False)
+    index = R.postings(_docs(spark, d), {"body": F.col("text")}, bigrams=False, only=queries)
+    return R.tfidf(index, R.idf_table(index, _n(spark, d), max_share=1.0), queries, 10)
 
 
 def _fingerprints(spark, d):
