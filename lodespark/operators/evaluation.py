@@ -64,7 +64,7 @@ def macro(metrics: DataFrame, columns: list[str], by: list[str] | None = None) -
 
 
 def sign_test(metrics: DataFrame, column: str, a: str, b: str) -> DataFrame:
-    """Wins, losses and ties of system a against b over queries, and the two-sided normal p of the sign test."""
+    """Wins, losses and ties of system a against b over queries, and the sign test's z."""
     x = metrics.where(F.col("system") == a).select("query_id", F.col(column).alias("x"))
     y = metrics.where(F.col("system") == b).select("query_id", F.col(column).alias("y"))
     g = x.join(y, "query_id").agg(F.count_if(F.col("x") > F.col("y")).alias("wins"), F.count_if(F.col("x") < F.col("y")).alias("losses"), F.count_if(F.col("x") == F.col("y")).alias("ties"))
@@ -79,10 +79,34 @@ def reliability_bins(rows: DataFrame, bins: int = 10) -> DataFrame:
     return g.select("bin", "n", F.round("conf", 6).alias("conf"), F.round("acc", 6).alias("acc"), F.round(F.abs(F.col("conf") - F.col("acc")), 6).alias("gap"))
 
 
+#: Ranges of values over which rows are counted, so that no window orders a whole table.
+RANGES = 64
+
+
+def _ranged(rows: DataFrame, column: str) -> DataFrame:
+    """Adds ``range``, the number of approximate quantiles at or below the value: ranges are in the values' order, whatever the approximation."""
+    edges = rows.agg(F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
+    edges = F.array(*map(F.lit, sorted(set(edges)))) if edges else F.array().cast("array<double>")
+    return rows.withColumn("range", F.size(F.filter(edges, lambda e: e <= F.col(column))))
+
+
+def _offsets(counts: DataFrame) -> DataFrame:
+    """(range, before): rows of all earlier ranges, from (range, m); one row for each range."""
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.groupBy("range").agg(F.sum("m").alias("m")).select("range", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("before"))
+
+
 def quantile_bins(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """Bins of equal count by confidence (ties by id)."""
-    k = F.ntile(bins).over(Window.orderBy("confidence", "id")) - 1
-    return rows.withColumn("bin", k).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("conf"), F.round(F.avg("label"), 6).alias("acc"))
+    """Bins of equal count by confidence (ties by id); the first take what is left over. Rows are numbered within ranges only."""
+    ranged = _ranged(rows, "confidence")
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("m"))
+    total = counts.agg(F.sum("m").alias("total"))
+    at = F.row_number().over(Window.partitionBy("range").orderBy("confidence", "id")) - 1
+    placed = ranged.withColumn("at", at).join(_offsets(counts), "range").crossJoin(total).withColumn("at", F.col("at") + F.col("before"))
+    size, more = F.floor(F.col("total") / bins), F.col("total") % bins
+    big = more * (size + 1)
+    k = F.when(F.col("at") < big, F.floor(F.col("at") / (size + 1))).otherwise(more + F.floor((F.col("at") - big) / size)).cast("int")
+    return placed.withColumn("bin", k).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("conf"), F.round(F.avg("label"), 6).alias("acc"))
 
 
 def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
@@ -106,12 +130,14 @@ def quadratic_kappa(pairs: DataFrame, classes: int) -> DataFrame:
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with mean ranks for ties.
 
-    Mean ranks come from counts by value, so only the distinct values are ever ordered.
+    Mean ranks come from counts by value, and distinct values are only ordered within ranges.
     """
+
     def ranks(c: str) -> DataFrame:
-        g = rows.groupBy(c).agg(F.count(F.lit(1)).alias("m"))
-        upto = F.sum("m").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return g.select(F.col(c).alias(f"{c}_v"), (upto - (F.col("m") - 1) / 2).alias(f"{c}_rank"))
+        g = _ranged(rows.groupBy(c).agg(F.count(F.lit(1)).alias("m")), c)
+        within = F.sum("m").over(Window.partitionBy("range").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+        g = g.withColumn("upto", within).join(_offsets(g.select("range", "m")), "range")
+        return g.select(F.col(c).alias(f"{c}_v"), (F.col("before") + F.col("upto") - (F.col("m") - 1) / 2).alias(f"{c}_rank"))
 
     j = rows.join(ranks(x), F.col(x) == F.col(f"{x}_v")).join(ranks(y), F.col(y) == F.col(f"{y}_v"))
     return j.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr(f"{x}_rank", f"{y}_rank"), 6).alias("spearman"))

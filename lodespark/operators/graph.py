@@ -51,13 +51,14 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, directed: bool = True)
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
-    """(path, hops): simple undirected paths from starts to targets; a path ends at the first target."""
+    """(path, hops): simple undirected paths from starts to targets; a path ends at the first target. The last hop only follows edges into targets, so hubs do not fan out there."""
     e = both_ways(edges).select("src", "dst").distinct()
     goal = targets.select(F.col("node").alias("end"))
+    last = e.join(goal, F.col("dst") == F.col("end"), "left_semi")
     live = starts.select(F.array("node").alias("path"))
     found = None
-    for _ in range(depth):
-        live = live.withColumn("src", F.element_at("path", -1)).join(e, "src").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+    for hop in range(depth):
+        live = live.withColumn("src", F.element_at("path", -1)).join(e if hop < depth - 1 else last, "src").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
         end = F.element_at("path", -1)
         hit = live.join(goal, end == F.col("end"), "left_semi")
         found = hit if found is None else found.unionByName(hit)

@@ -37,23 +37,51 @@ def cooccurrence(findings: DataFrame, least: int) -> DataFrame:
     return g.withColumn("confidence", F.round(F.least(F.lit(0.95), 0.5 + 0.02 * F.col("n")), 6))
 
 
-def cross_finding_edges(findings: DataFrame, min_regions: int = 1) -> DataFrame:
+def _relation(da: Column, db: Column, negated: Column) -> Column:
+    """Equal directions support, opposite ones contradict, or refute if one finding is negated; else null."""
+    opposite = F.array_sort(F.array(da, db)).isin(*(F.array(*map(F.lit, sorted(p))) for p in OPPOSITE))
+    return F.when((da == db) & ~da.isin("other", "correlation") & ~negated, "supports").when(opposite & ~negated, "contradicts").when(opposite, "direct_refutation")
+
+
+def cross_finding_edges(findings: DataFrame, queries: DataFrame | None = None, min_regions: int = 1) -> DataFrame:
     """(a, b, relation, n_regions, confidence): findings of different papers on one task that share regions.
 
     Equal directions support, opposite ones contradict, unless one is negated. The bucket (region, task) is an equi-join
     that leaves out pairs of no relation; shared regions are then counted per pair, so a pair met in several buckets is
-    one row.
+    one row. Edges grow with the square of a bucket. With ``queries``, some of the findings, a is one of these and b any
+    other; without, every pair is one row with a < b. ``relation_counts`` has their numbers without the pairs.
+    """
+    names = ("finding_id", "paper_id", "direction", "negated")
+    side = lambda t, p: t.select("task", F.explode("regions").alias("region"), *(F.col(c).alias(f"{p}_{c}") for c in names))
+    j = side(findings if queries is None else queries, "a").join(side(findings, "b"), ["region", "task"]).where("a_paper_id != b_paper_id")
+    j = j.where("a_finding_id < b_finding_id" if queries is None else "a_finding_id != b_finding_id")
+    relation = _relation(F.col("a_direction"), F.col("b_direction"), F.col("a_negated") | F.col("b_negated"))
+    code = F.when(relation == "supports", 0).when(relation == "contradicts", 1).when(relation == "direct_refutation", 2)
+    g = j.withColumn("code", code).where("code IS NOT NULL").groupBy("a_finding_id", "b_finding_id").agg(F.count(F.lit(1)).alias("n_regions"), F.max("code").alias("code"))
+    confidence = F.least(F.when(F.col("code") == 0, F.lit(0.95)).otherwise(F.lit(0.9)), 0.6 + 0.1 * F.col("n_regions"))
+    named = F.when(F.col("code") == 0, "supports").when(F.col("code") == 1, "contradicts").otherwise("direct_refutation")
+    return g.where(F.col("n_regions") >= min_regions).select(F.col("a_finding_id").alias("a"), F.col("b_finding_id").alias("b"), named.alias("relation"), "n_regions", F.round(confidence, 6).alias("confidence"))
+
+
+def relation_counts(findings: DataFrame) -> DataFrame:
+    """(region, task, relation, pairs): how many pairs of findings of different papers support, contradict or refute each other there.
+
+    Counted from how many findings each kind (direction, negated) has, in all and in each paper: no pair is made.
     """
-    f = findings.select("finding_id", "paper_id", "task", "direction", "negated", F.explode("regions").alias("region"))
-    a, b = (f.select("region", "task", *(F.col(c).alias(f"{p}_{c}") for c in ("finding_id", "paper_id", "direction", "negated"))) for p in "ab")
-    j = a.join(b, ["region", "task"]).where((F.col("a_finding_id") < F.col("b_finding_id")) & (F.col("a_paper_id") != F.col("b_paper_id")))
-    opposite = F.array_sort(F.array("a_direction", "b_direction")).isin(*(F.array(*map(F.lit, sorted(p))) for p in OPPOSITE))
-    calm = ~F.col("a_negated") & ~F.col("b_negated")
-    relation = F.when((F.col("a_direction") == F.col("b_direction")) & ~F.col("a_direction").isin("other", "correlation") & calm, "supports").when(opposite & calm, "contradicts").when(opposite, "direct_refutation")
-    g = j.where(relation.isNotNull()).groupBy("a_finding_id", "b_finding_id").agg(F.count(F.lit(1)).alias("n_regions"), *(F.first(c).alias(c) for c in ("a_direction", "b_direction", "a_negated", "b_negated")))
-    confidence = F.least(F.when(relation == "supports", F.lit(0.95)).otherwise(F.lit(0.9)), 0.6 + 0.1 * F.col("n_regions"))
-    out = g.where(F.col("n_regions") >= min_regions).select(F.col("a_finding_id").alias("a"), F.col("b_finding_id").alias("b"), relation.alias("relation"), "n_regions", F.round(confidence, 6).alias("confidence"))
-    return out.where("relation IS NOT NULL")
+    f = findings.select("paper_id", "task", "direction", "negated", F.explode("regions").alias("region"))
+    own = f.groupBy("region", "task", "paper_id", "direction", "negated").agg(F.count(F.lit(1)).alias("n"))
+    whole = own.groupBy("region", "task", "direction", "negated").agg(F.sum("n").alias("n"))
+
+    def pairs(t: DataFrame, keys: list[str]) -> DataFrame:
+        x, y = (t.select(*keys, F.col("direction").alias(f"{p}d"), F.col("negated").alias(f"{p}g"), F.col("n").alias(f"{p}n")) for p in "xy")
+        j = x.join(y, keys).withColumn("relation", _relation(F.col("xd"), F.col("yd"), F.col("xg") | F.col("yg"))).where("relation IS NOT NULL")
+        same = (F.col("xd") == F.col("yd")) & (F.col("xg") == F.col("yg"))
+        n = F.when(same, F.col("xn") * (F.col("xn") - 1)).otherwise(F.col("xn") * F.col("yn"))  # every pair from both its ends
+        return j.groupBy("region", "task", "relation").agg(F.sum(n).alias("n"))
+
+    within = pairs(own, ["region", "task", "paper_id"]).withColumnRenamed("n", "inside")
+    out = pairs(whole, ["region", "task"]).join(within, ["region", "task", "relation"], "left")
+    return out.select("region", "task", "relation", ((F.col("n") - F.coalesce("inside", F.lit(0))) / 2).cast("bigint").alias("pairs")).where("pairs > 0")
 
 
 def timeline(findings: DataFrame) -> DataFrame:

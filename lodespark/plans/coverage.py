@@ -31,13 +31,14 @@ def _count(dim):
 
 
 PAIRS = "SELECT r.value AS row_value, c.value AS col_value, count(*) AS n FROM good r JOIN good c USING (dataset_id) WHERE r.dimension = 'segment' AND c.dimension = 'brand' GROUP BY ALL"
-SPARSE = "p AS (SELECT * FROM part WHERE p_size % 5 = p_partkey % 5), g AS (SELECT p_partkey AS dataset_id, 'p_brand' AS dimension, p_brand AS value FROM p UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS VARCHAR) FROM p)"
+PRICED = "g AS (SELECT p_partkey AS dataset_id, 'p_brand' AS dimension, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'price', CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) FROM part)"
+MARGINS = "a AS (SELECT value AS value_a, count(*) AS n_a FROM g WHERE dimension = 'p_brand' GROUP BY 1), b AS (SELECT value AS value_b, count(*) AS n_b FROM g WHERE dimension = 'price' GROUP BY 1), n AS (SELECT x.value AS value_a, y.value AS value_b, count(*) AS n FROM g x JOIN g y USING (dataset_id) WHERE x.dimension = 'p_brand' AND y.dimension = 'price' GROUP BY ALL)"
 
 
-def _sparse(spark, d):
-    """Entries from single parts: a part is a dataset, its size class and brand are values; small enough to leave pairs open."""
-    p = S.table(spark, d, "part").where("p_size % 5 = p_partkey % 5").select(F.col("p_partkey").alias("dataset_id"), "p_brand", F.col("p_size").cast("string").alias("p_size"))
-    return p.unpivot("dataset_id", ["p_brand", "p_size"], "dimension", "value").withColumn("confidence", F.lit(0.9))
+def _priced(spark, d):
+    """Entries from single parts: a part is a dataset, its brand and its price in whole units are values."""
+    p = S.table(spark, d, "part").select(F.col("p_partkey").alias("dataset_id"), "p_brand", F.floor("p_retailprice").cast("string").alias("price"))
+    return p.unpivot("dataset_id", ["p_brand", "price"], "dimension", "value").withColumn("confidence", F.lit(0.9))
 
 
 QUERIES = {
@@ -49,16 +50,12 @@ QUERIES = {
     ),
     "uncovered_values": (lambda s, d: C.uncovered_values(_brands(s, d), S.entries(s, d), "brand"), f"{W} SELECT value FROM brands WHERE value NOT IN (SELECT value FROM good WHERE dimension = 'brand')"),
     "dark_pairs": (
-        lambda s, d: C.dark_pairs(_sparse(s, d), "p_brand", "p_size", top=25),
-        f"""WITH {SPARSE}, a AS (SELECT value AS value_a, count(*) AS n_a FROM g WHERE dimension = 'p_brand' GROUP BY 1), b AS (SELECT value AS value_b, count(*) AS n_b FROM g WHERE dimension = 'p_size' GROUP BY 1)
-        SELECT value_a, value_b, n_a, n_b, n_a + n_b AS score FROM a, b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p_brand = value_a AND CAST(p_size AS VARCHAR) = value_b)
-        ORDER BY score DESC, value_a, value_b LIMIT 25""",
+        lambda s, d: C.dark_pairs(_priced(s, d), "p_brand", "price", top=25),
+        f"""WITH {PRICED}, {MARGINS} SELECT value_a, value_b, n_a, n_b, n_a + n_b AS score FROM a, b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.value_a = a.value_a AND n.value_b = b.value_b) ORDER BY score DESC, value_a, value_b LIMIT 25""",
     ),
     "thin_pairs": (
-        lambda s, d: C.thin_pairs(_sparse(s, d), "p_brand", "p_size", target=3, top=25),
-        f"""WITH {SPARSE}, a AS (SELECT value AS value_a, count(*) AS n_a FROM g WHERE dimension = 'p_brand' GROUP BY 1), b AS (SELECT value AS value_b, count(*) AS n_b FROM g WHERE dimension = 'p_size' GROUP BY 1),
-        n AS (SELECT p_brand AS value_a, CAST(p_size AS VARCHAR) AS value_b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) < 3)
-        SELECT value_b, value_a, n, n_a, n_b, n_a + n_b - n AS opportunity FROM n JOIN a USING (value_a) JOIN b USING (value_b) ORDER BY n, opportunity DESC, value_a, value_b LIMIT 25""",
+        lambda s, d: C.thin_pairs(_priced(s, d), "p_brand", "price", target=3, top=25),
+        f"""WITH {PRICED}, {MARGINS} SELECT value_b, value_a, n, n_a, n_b, n_a + n_b - n AS opportunity FROM n JOIN a USING (value_a) JOIN b USING (value_b) WHERE n < 3 ORDER BY n, opportunity DESC, value_a, value_b LIMIT 25""",
     ),
     "vocabulary_coverage": (lambda s, d: C.vocabulary_coverage(_brands(s, d), S.entries(s, d), "brand"), f"{W} SELECT b.value, count(DISTINCT dataset_id) AS n FROM brands b LEFT JOIN entries e ON e.value = b.value AND e.dimension = 'brand' GROUP BY b.value"),
     "datasets_for_value": (
@@ -90,12 +87,14 @@ QUERIES = {
     "coverage_plan": (
         lambda s, d: C.coverage_plan(
             _brands(s, d),
-            S.table(s, d, "part").where("p_size <= 5 AND p_type < 'M'").select(F.col("p_brand").alias("value"), F.col("p_partkey").alias("id")),
-            S.table(s, d, "part").where("p_size > 48").select(F.col("p_brand").alias("value"), F.col("p_partkey").alias("id")),
+            S.table(s, d, "part").select(F.col("p_brand").alias("value"), F.col("p_partkey").alias("id")),
+            S.entries(s, d).where("dimension = 'brand'").select("value", F.col("dataset_id").alias("id")),
+            corpus_target=85,
+            benchmark_target=1200,
         ),
-        f"""WITH {BRANDS}, c AS (SELECT p_brand AS value, count(*) AS corpus FROM part WHERE p_size <= 5 AND p_type < 'M' GROUP BY 1), q AS (SELECT p_brand AS value, count(*) AS queries FROM part WHERE p_size > 48 GROUP BY 1),
+        f"""{W}, c AS (SELECT p_brand AS value, count(*) AS corpus FROM part GROUP BY 1), q AS (SELECT value, count(DISTINCT dataset_id) AS queries FROM entries WHERE dimension = 'brand' GROUP BY 1),
         x AS (SELECT value, coalesce(corpus, 0) AS corpus, coalesce(queries, 0) AS queries FROM brands LEFT JOIN c USING (value) LEFT JOIN q USING (value)),
-        y AS (SELECT *, 2 * greatest(0, 3 - corpus) + greatest(0, 2 - queries) AS score FROM x)
+        y AS (SELECT *, 2 * greatest(0, 85 - corpus) + greatest(0, 1200 - queries) AS score FROM x)
         SELECT *, CASE WHEN score >= 6 THEN 'critical' WHEN score >= 3 THEN 'high' ELSE 'medium' END AS class FROM y WHERE score > 0""",
     ),
     "coverage_rollup": (lambda s, d: C.with_subtotals(S.entries(s, d)), f"{W} SELECT dimension, value, count(DISTINCT dataset_id) AS n, CAST(grouping(dimension, value) AS BIGINT) AS level FROM good GROUP BY ROLLUP (dimension, value)"),

@@ -59,9 +59,9 @@ QUERIES = {
         f"""{WR}, {STARTS}, walk(start, node, hops) AS (SELECT node, node, 0 FROM starts UNION SELECT start, dst, hops + 1 FROM walk JOIN edges ON src = node WHERE hops < 3) SELECT start, node, min(hops) AS hops FROM walk GROUP BY ALL""",
     ),
     "simple_paths_depth3": (
-        lambda s, d: G.simple_paths(S.edges(s, d).where("etype <> 'uses' AND etype <> 'supplied_by'"), _customers(s, d), S.table(s, d, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("node")), 3),
-        f"""{WR}, {STARTS}, und AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges WHERE etype NOT IN ('uses', 'supplied_by') UNION ALL SELECT dst, src FROM edges WHERE etype NOT IN ('uses', 'supplied_by')) WHERE src <> dst),
-        walk(path, last, hops) AS (SELECT [node], node, 0 FROM starts UNION ALL SELECT list_append(path, dst), dst, hops + 1 FROM walk JOIN und ON src = last WHERE hops < 3 AND NOT list_contains(path, dst) AND NOT starts_with(last, 's:'))
+        lambda s, d: G.simple_paths(S.edges(s, d), _customers(s, d), S.table(s, d, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("node")), 3),
+        f"""{WR}, {STARTS}, {UND},
+        walk(path, last, hops) AS (SELECT [node], node, 0 FROM starts UNION ALL SELECT list_append(path, dst), dst, hops + 1 FROM walk JOIN und ON src = last WHERE hops < 3 AND NOT list_contains(path, dst) AND NOT starts_with(last, 's:') AND (hops < 2 OR starts_with(dst, 's:')))
         SELECT array_to_string(path, '>') AS path, hops FROM walk WHERE starts_with(last, 's:')""",
     ),
     "metapath_scores": (

@@ -44,6 +44,9 @@ STOP = "(" + ", ".join(f"'{w}'" for w in T.TITLE_STOP_WORDS) + ")"
 TITLES = f"""t AS (SELECT page_id AS id, {NORM.format(x="regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g')")} AS title FROM pages),
 tt AS (SELECT id, title, unnest(list_distinct(list_filter(string_split(title, ' '), lambda w: length(w) >= 4 AND w NOT IN {STOP}))) AS token FROM t)"""
 
+#: Directions that contradict each other, as the operator has them.
+OPPOSITE_SQL = "(" + " OR ".join(f"(da = '{x}' AND db = '{y}')" for p in L.OPPOSITE for x, y in (tuple(p), tuple(p)[::-1])) + ")"
+
 QUERIES = {
     "consensus_strength": (
         lambda s, d: L.consensus(S.findings(s, d), 3),
@@ -57,12 +60,21 @@ QUERIES = {
     ),
     "cooccurrence_pairs": (lambda s, d: L.cooccurrence(S.findings(s, d), 2), f"{W}, x AS (SELECT finding_id, unnest(regions) AS r FROM findings) SELECT a.r AS a, b.r AS b, count(*) AS n, round(least(0.95::DOUBLE, 0.5::DOUBLE + 0.02::DOUBLE * count(*)), 6) AS confidence FROM x a JOIN x b USING (finding_id) WHERE a.r < b.r GROUP BY a.r, b.r HAVING count(*) >= 2"),
     "cross_finding_edges": (
-        lambda s, d: L.cross_finding_edges(S.findings(s, d)),
+        lambda s, d: L.cross_finding_edges(S.findings(s, d), S.findings(s, d).where("finding_id % 100 = 0")),
         f"""{W}, x AS (SELECT * EXCLUDE regions, unnest(regions) AS region FROM findings),
-        p AS (SELECT a.finding_id AS a, b.finding_id AS b, count(*) AS n_regions, any_value(a.direction) AS da, any_value(b.direction) AS db, any_value(a.negated OR b.negated) AS neg FROM x a JOIN x b USING (region, task, year) WHERE a.finding_id < b.finding_id AND a.paper_id <> b.paper_id GROUP BY ALL HAVING count(*) >= 3),
-        r AS (SELECT a, b, n_regions, CASE WHEN da = db AND NOT neg THEN 'supports' WHEN da <> db AND NOT neg THEN 'contradicts' WHEN da <> db THEN 'direct_refutation' END AS relation FROM p)
+        p AS (SELECT a.finding_id AS a, b.finding_id AS b, count(*) AS n_regions, any_value(a.direction) AS da, any_value(b.direction) AS db, any_value(a.negated OR b.negated) AS neg FROM x a JOIN x b USING (region, task) WHERE a.finding_id % 100 = 0 AND a.finding_id <> b.finding_id AND a.paper_id <> b.paper_id GROUP BY ALL),
+        r AS (SELECT a, b, n_regions, CASE WHEN da = db AND NOT neg THEN 'supports' WHEN {OPPOSITE_SQL} AND NOT neg THEN 'contradicts' WHEN {OPPOSITE_SQL} THEN 'direct_refutation' END AS relation FROM p)
         SELECT a, b, relation, n_regions, round(least(CASE relation WHEN 'supports' THEN 0.95::DOUBLE ELSE 0.9::DOUBLE END, 0.6::DOUBLE + 0.1::DOUBLE * n_regions), 6) AS confidence FROM r WHERE relation IS NOT NULL""",
     ),
+    "relation_counts": (
+        lambda s, d: L.relation_counts(S.findings(s, d)),
+        f"""{W}, x AS (SELECT * EXCLUDE regions, unnest(regions) AS region FROM findings), k AS (SELECT region, task, paper_id, direction AS dir, negated, count(*) AS n FROM x GROUP BY ALL),
+        w AS (SELECT region, task, dir, negated, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL),
+        p AS (SELECT a.region, a.task, a.dir AS da, b.dir AS db, a.negated OR b.negated AS neg, CASE WHEN a.dir = b.dir AND a.negated = b.negated THEN a.n * (a.n - 1) ELSE a.n * b.n END AS n FROM w a JOIN w b USING (region, task)
+              UNION ALL SELECT a.region, a.task, a.dir, b.dir, a.negated OR b.negated, -CASE WHEN a.dir = b.dir AND a.negated = b.negated THEN a.n * (a.n - 1) ELSE a.n * b.n END FROM k a JOIN k b USING (region, task, paper_id)),
+        r AS (SELECT region, task, CASE WHEN da = db AND NOT neg THEN 'supports' WHEN {OPPOSITE_SQL} AND NOT neg THEN 'contradicts' WHEN {OPPOSITE_SQL} THEN 'direct_refutation' END AS relation, n FROM p)
+        SELECT region, task, relation, CAST(sum(n) // 2 AS BIGINT) AS pairs FROM r WHERE relation IS NOT NULL GROUP BY ALL HAVING sum(n) > 0""",
+    ),
     "timeline_first_seen": (
         lambda s, d: L.timeline(S.findings(s, d)),
         f"""{W}, b AS (SELECT year, count(*) AS findings, count(DISTINCT paper_id) AS papers FROM findings GROUP BY year), t AS (SELECT year, count(*) AS n FROM (SELECT task, min(year) AS year FROM findings GROUP BY task) GROUP BY year),
@@ -96,7 +108,7 @@ QUERIES = {
     ),
     "title_matches": (
         lambda s, d: L.token_blocked_matches(_titles(s, d), _titles(s, d), 50, 0.8),
-        f"""WITH {TITLES}, rare AS (SELECT token FROM tt GROUP BY token HAVING count(*) <= 50), p AS (SELECT DISTINCT a.id, a.title, b.id AS other, b.title AS other_title FROM tt a JOIN rare USING (token) JOIN tt b USING (token) WHERE a.id <> b.id),
+        f"""WITH {TITLES}, p AS (SELECT DISTINCT a.id, a.title, b.id AS other, b.title AS other_title FROM tt a JOIN tt b USING (token) WHERE a.id <> b.id),
         s AS (SELECT id, other, round(1 - levenshtein(title, other_title) / greatest(length(title), length(other_title)), 6) AS similarity FROM p) SELECT * FROM s WHERE similarity >= 0.8""",
     ),
 }
