@@ -7,6 +7,17 @@ from pyspark.sql import Column, functions as F
 #: Words that carry no meaning in a title.
 TITLE_STOP_WORDS = ("and", "are", "based", "data", "dataset", "datasets", "during", "for", "from", "human", "mouse", "neural", "neuronal", "of", "the", "using", "with")
 
+#: Patterns that deny a result.
+NEGATIONS = (
+    r"\bdid\s+not\b", r"\bdoes\s+not\b", r"\bdo\s+not\b", r"\bwas\s+not\b", r"\bwere\s+not\b", r"\bno\s+significant\b", r"\bno\s+effect\b", r"\bnot\s+significantly?\b", r"\bfailed\s+to\b",
+    r"\babsence\s+of\b", r"\bnot\s+observed\b", r"\bnot\s+activated?\b", r"\bno\s+longer\b", r"\bbut\s+not\b", r"\bno\s+increase\b", r"\bno\s+decrease\b", r"\bunchanged\b",
+)
+
+
+def negated(x: Column) -> Column:
+    """Whether a text denies or contradicts a result; null is no denial."""
+    return F.coalesce(F.lower(x).rlike("|".join(NEGATIONS)), F.lit(False))
+
 
 def normalize(x: Column) -> Column:
     """Lower case; runs of anything but letters, digits and + become one space; trimmed. Null stays null."""

@@ -173,3 +173,66 @@ def descendants(parents: DataFrame, depth: int = 16) -> DataFrame:
     e = parents.select(F.col("parent").alias("src"), F.col("child").alias("dst")).withColumns({"etype": F.lit("child"), "confidence": F.lit(1.0)})
     roots = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     return bfs(e, roots, depth).where("hops > 0").withColumnRenamed("start", "ancestor")
+
+
+def transitive(edges: DataFrame, starts: DataFrame, target: str, decay: tuple[float, ...] = (0.8, 0.6, 0.4)) -> DataFrame:
+    """(start, node, hops, weight): targets (nodes whose id starts with ``target``) along the edges; a walk does not go on through one.
+
+    The weight is that of the hop at which a target is first met; as many hops as ``decay`` has.
+    """
+    e = edges.select("src", "dst").distinct()
+    seen = front = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"))
+    for hop in range(1, len(decay) + 1):
+        go = front.where(~F.col("node").startswith(target)) if hop > 1 else front
+        step = go.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        seen = seen.unionByName(front)
+    weight = F.get(F.array(*map(F.lit, decay)), F.col("hops") - 1)
+    return seen.where((F.col("hops") > 0) & F.col("node").startswith(target)).select("start", "node", "hops", weight.alias("weight"))
+
+
+def transitive_boost(matches: DataFrame, each: float = 0.05, most: float = 0.15) -> DataFrame:
+    """(start, boost): so much for each match, up to a limit."""
+    return matches.groupBy("start").agg(F.round(F.least(F.lit(most), F.count(F.lit(1)) * each), 6).alias("boost"))
+
+
+def nodes_by_name(names: DataFrame, wanted: list[str]) -> DataFrame:
+    """Nodes of (node, name), one row for each label or alias, that go by one of the wanted names, case and punctuation ignored."""
+    from lodespark.functions import text as T
+
+    return names.where(T.normalize(F.col("name")).isin(*(w.lower() for w in wanted))).select("node").distinct()
+
+
+def hierarchy_score(have: DataFrame, asked: list[str], closure: DataFrame) -> DataFrame:
+    """(id, score): how well a record's regions (id, region) meet the asked ones in a hierarchy (ancestor, node).
+
+    The best of all pairs: 1 if equal, 0.7 if an asked region is above one of the record's, 0.5 if below, 0.4 if only
+    the part of the name before the first underscore (of four letters or more) is the same, else 0.
+    """
+    want = F.array(*map(F.lit, asked))
+    up = closure.where(F.col("ancestor").isin(*asked)).select(F.col("node").alias("region"), F.lit(0.7).alias("s"))
+    down = closure.where(F.col("node").isin(*asked)).select(F.col("ancestor").alias("region"), F.lit(0.5).alias("s"))
+    near = up.unionByName(down).groupBy("region").agg(F.max("s").alias("s"))
+    stem = lambda c: F.substring_index(c, "_", 1)
+    same_stem = (F.length("region") >= 4) & F.array_contains(F.transform(want, stem), stem(F.col("region")))
+    own = F.when(F.col("region").isin(*asked), 1.0).when(F.col("s").isNotNull(), F.col("s")).when(same_stem, 0.4).otherwise(0.0)
+    return have.join(near, "region", "left").groupBy("id").agg(F.max(own).alias("score"))
+
+
+def shortest_paths(paths: DataFrame) -> DataFrame:
+    """(start, end, path, hops): of each pair's paths (path joined by >, hops) the shortest, ties by text."""
+    p = paths.select(F.substring_index("path", ">", 1).alias("start"), F.substring_index("path", ">", -1).alias("end"), "path", "hops")
+    return p.groupBy("start", "end").agg(F.min(F.struct("hops", "path")).alias("x")).select("start", "end", "x.path", "x.hops")
+
+
+def induced(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges between the seeds (node) and their neighbours, all of them."""
+    near = both_ways(edges).join(seeds, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node"))
+    nodes = seeds.select("node").union(near).distinct()
+    return edges.join(nodes, F.col("src") == F.col("node"), "left_semi").join(nodes, F.col("dst") == F.col("node"), "left_semi")
+
+
+def strongest_out(edges: DataFrame, k: int) -> DataFrame:
+    """(src, dst, weight, rank): of each source the k targets of greatest confidence, several edges to one counted once."""
+    w = edges.groupBy("src", "dst").agg(F.max("confidence").alias("weight"))
+    return w.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst"))).where(F.col("rank") <= k)
