@@ -149,8 +149,11 @@ def repeated_starts(strings: list[bytes], length: int, shard_bytes: int = 1 << 1
         return np.zeros(0, bool)
     inner = np.searchsorted(s.offsets, np.arange(shard_bytes, s.n, shard_bytes))
     bounds = sorted({0, s.n, *s.offsets[inner].tolist()})
-    places, block, _ = merge(s, bounds, length // q)
-    sizes = np.bincount(block)
+    places, _, common = merge(s, bounds, length // q)
+    shared = common >= length // q  # with the suffix before it
+    shared[0] = False
+    inside = shared.copy()
+    inside[:-1] |= shared[1:]
     out = np.zeros(s.n, bool)
-    out[places] = sizes[block] > 1
+    out[places] = inside
     return (out & (s.left >= length))[s.left > 0]

@@ -19,10 +19,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from lodespark.llm.common import slices
 
 #: Words and seams that a worker keeps; a full table becomes the old one, from which words still in use return.
 KEPT_WORDS, KEPT_SEAMS = 100_000, 250_000
+#: Bytes of texts that are encoded together.
+TEXTS = 1 << 20
 
 
 class Vocabulary:
@@ -42,6 +46,7 @@ class Vocabulary:
                 self.halves[i] = two
                 self.joined[two] = i
         self.seams: dict[tuple[int, int], bool] = {}
+        self.size = {i: len(t) for i, t in self.tokens.items()}
 
     def _merged(self, token: bytes, below: int) -> tuple[int, ...]:
         """The tokens that merges of a lower rank than ``below`` leave of the bytes."""
@@ -81,6 +86,28 @@ class Vocabulary:
                 hidden, b = made_b + 1, self.halves[b][0]
 
 
+    def code(self, data: bytes) -> list[int]:
+        """Ids of bytes that nothing will be appended to: the last tokens of all prefixes, in one loop."""
+        last, seams = [-1], self.seams
+        for at, (token, n) in self.matches.iter(data.decode("latin-1")):
+            if at + 1 != len(last):  # this prefix has its token, or one before it has none
+                continue
+            if n <= at:
+                key = (last[at + 1 - n], token)
+                if not (self.seam(*key) if (apart := seams.get(key)) is None else apart):
+                    continue
+            last.append(token)
+        if len(last) <= len(data):
+            raise ValueError("the vocabulary lacks a byte")
+        out, end, size = [], len(data), self.size
+        while end:
+            token = last[end]
+            out.append(token)
+            end -= size[token]
+        out.reverse()
+        return out
+
+
 class PrefixCoder:
     """The unique last token of every prefix of a byte string."""
 
@@ -145,9 +172,6 @@ def vocabulary(path: str) -> Vocabulary:
 class Encoder:
     """Encodes and decodes whole texts; ids of words it has met are kept as packed little-endian integers."""
 
-    #: A single space between two characters that are not white space starts a new word in any case, so texts are cut there.
-    LOOSE = regex.compile(r"\s | \s")
-
     def __init__(self, path: str, pattern: str):
         self.v, self.pattern = vocabulary(path), regex.compile(pattern)
         self.kept: dict[str, bytes] = {}
@@ -159,7 +183,7 @@ class Encoder:
         data = word.encode("utf-8", "surrogatepass")
         if (whole := self.v.ranks.get(data)) is not None:
             return whole.to_bytes(4, "little")
-        return array("I", PrefixCoder(self.v, data).ids()).tobytes()
+        return array("I", self.v.code(data)).tobytes()
 
     def run(self, text: str) -> bytes:
         """Ids of a text in which any match may begin."""
@@ -221,9 +245,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            ids = [own.encode(t) if t else b"" for t in batch.column(text_col).to_pylist()]
-            arrays = [*batch.columns, pa.array(ids, pa.large_binary()), pa.array([own.decode(x) for x in ids], pa.large_binary())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "ids", "decoded"])
+            for at, n in slices(batch.column(text_col), TEXTS):
+                part = batch.slice(at, n)
+                ids = [own.encode(t) if t else b"" for t in part.column(text_col).to_pylist()]
+                arrays = [*part.columns, pa.array(ids, pa.large_binary()), pa.array([own.decode(x) for x in ids], pa.large_binary())]
+                yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "ids", "decoded"])
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -237,13 +263,14 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = own.encode(text) if text else b""
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at, rows_ in slices(batch.column("text"), TEXTS):
+                n, a, b = [], [], []
+                for text in batch.column("text").slice(at, rows_).to_pylist():
+                    ids = own.encode(text) if text else b""
+                    n.append(len(ids) // 4)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    b.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, rows_), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(digest, kind).withColumnRenamed("id", id_col)
@@ -254,14 +281,3 @@ def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-
-
-def check_executors_can_read(spark: SparkSession, path: str) -> None:
-    """Fails early, with the path, if an executor lacks the rank file."""
-
-    def look(batches):
-        for batch in batches:
-            with open(path, "rb"):
-                yield batch
-
-    spark.range(1).mapInArrow(look, "id bigint").collect()

@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a longest run of bytes other than space and \\t..\\r.
@@ -61,3 +65,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs of rows with about ``most`` bytes together; what a task makes of one is gone before the next."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, stop - at
+        at = stop

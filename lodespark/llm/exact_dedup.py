@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Slots of a filter bucket, and how many evictions an insertion may cause before the filter counts as full.
 SLOTS, MAX_KICKS = 4, 200
-#: Keys that a map task folds before it passes its partial groups on; bounds its memory.
+#: Keys that a task folds before it passes their groups on; bounds its memory.
 PARTIAL_KEYS = 100_000
 
 
@@ -120,8 +120,12 @@ def _flush(index: CuckooIndex, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], schema.field("keep").type)], schema=schema)
 
 
-def _fold(keys: int | None):
-    """A mapInArrow function that folds (digest, n, keep) rows by digest, passing groups on whenever ``keys`` are live."""
+def _fold(keys: int, ordered: bool = False):
+    """A mapInArrow function that folds (digest, n, keep) rows by digest, passing groups on whenever ``keys`` are live.
+
+    ``ordered`` rows come sorted by digest, so a group is complete once another digest follows, and no group is passed on
+    in two parts.
+    """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, schema = CuckooIndex(), None
@@ -129,11 +133,14 @@ def _fold(keys: int | None):
             schema = schema or _schema(batch.schema.field("keep").type)
             for digest, n, keep in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "keep")), strict=True):
                 if (known := index.get(digest)) is None:
+                    if ordered and index.size >= keys:
+                        yield from _flush(index, schema)
+                        index = CuckooIndex()
                     index.insert(digest, [n, keep])
                 else:
                     known[0] += n
                     known[1] = keep if known[1] is None else known[1] if keep is None else max(known[1], keep)
-            if keys and index.size >= keys:
+            if not ordered and index.size >= keys:
                 yield from _flush(index, schema)
                 index = CuckooIndex()
         if schema:
@@ -146,7 +153,7 @@ def live_index(digests: DataFrame) -> DataFrame:
     """(digest, n, keep): one row for each digest of (digest binary, n, keep), with summed n and the largest keep."""
     kind = f"digest binary, n bigint, keep {digests.schema['keep'].dataType.simpleString()}"
     partial = digests.mapInArrow(_fold(PARTIAL_KEYS), kind)
-    return partial.repartition("digest").mapInArrow(_fold(None), kind)
+    return partial.repartition("digest").sortWithinPartitions("digest").mapInArrow(_fold(PARTIAL_KEYS, ordered=True), kind)
 
 
 def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -12,12 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodespark.llm.common import slices
+
 #: Units of a direction, bytes of a window, windows that are read together.
 HIDDEN, WINDOW, TOGETHER = 8, 256, 4096
+#: Bytes of texts that are predicted together.
+TEXTS = 2 << 20
 #: Training: documents a language, bytes of one document that may serve, steps, windows and bytes of a step.
 SAMPLE, SAMPLE_BYTES, STEPS, BATCH, SPAN = 600, 1500, 260, 192, 48
 _LETTER = regex.compile(r"\p{L}")
@@ -177,8 +180,9 @@ class Model:
 def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model of the languages of labelled rows that are not held out; None if there are none.
 
-    About ``sample`` documents of each language serve, chosen by a hash of the id, with at most SAMPLE_BYTES characters
-    of each: the driver gets a bounded number of short strings, whatever the table's size.
+    About ``sample`` documents of each language serve, chosen by a hash of the id, with a window of at most SAMPLE_BYTES
+    characters of each that begins anywhere in the text, by the text's hash. The driver gets at most ``4 * sample`` short
+    strings a language, whatever the table's size and however often an id repeats.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -189,7 +193,9 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
-    got = sorted((r.lang, r.id, r.text) for r in chosen.select("lang", "id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect())
+    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES + 1)).cast("int")
+    windows_of = chosen.select("lang", "id", F.substring(F.col("text"), start, F.lit(SAMPLE_BYTES)).alias("text"))
+    got = sorted((r.lang, r.id, r.text) for r in windows_of.limit(4 * sample * len(counts)).collect())
     languages = sorted(counts)
     windows, y = [], []
     for lang, _, text in got:
@@ -231,7 +237,7 @@ def predict_languages(docs: DataFrame, model: Model | None, text_col: str = "tex
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(text_col)
-            for at, n in _slices(column):
+            for at, n in slices(column, TEXTS):
                 part = batch.slice(at, n)
                 texts = part.column(text_col).to_pylist()
                 known = [has_letter(t) and model is not None for t in texts]
@@ -254,16 +260,6 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     return known.drop("lang_pred", "score").toDF(*docs.columns)
 
 
-def _slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about ``most`` characters together."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
-    at = 0
-    while at < len(sizes):
-        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
-        yield at, n
-        at += n
-
-
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score) for every row of ``docs``, by a model learnt from its rows that are not held out."""
     model = train_on(docs, id_col, text_col, lang_col)

@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodespark.llm.common import cut
+from lodespark.llm.common import cut, slices
 from lodespark.operators.components import connected_components
 
 #: Minima, minima of a band, bits kept of each minimum. At similarity 0.8 a pair misses every band once in 10^7.
@@ -112,12 +111,8 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 def _chunks(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """(place of the first, texts) of runs with about ``most`` bytes; null is empty."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    at = 0
-    while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield at, [t or b"" for t in texts.slice(at, stop - at).to_pylist()]
-        at = stop
+    for at, n in slices(texts, most):
+        yield at, [t or b"" for t in texts.slice(at, n).to_pylist()]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

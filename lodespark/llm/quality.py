@@ -130,7 +130,7 @@ def held_out(id_col: str = "id") -> Column:
 def fit(stats: DataFrame, labels: DataFrame):
     """A function from a matrix of statistics to probabilities, learnt from (id, label) rows that are not held out."""
     known = labels.where(F.col("label").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.max("label").alias("label"))
-    rows = cut(stats.where(~held_out()).join(known, "id").select("stats", F.col("label").cast("double").alias("y")))
+    rows = cut(stats.where(~held_out()).join(known, "id").select("stats", F.col("label").cast("double").alias("y"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("fold")))
 
     def moments(batch):
         x = _matrix(batch.column("stats"))
@@ -142,25 +142,32 @@ def fit(stats: DataFrame, labels: DataFrame):
     n, s, ss = m[0], m[1 : 1 + STATISTICS], m[1 + STATISTICS :]
     fourier = Fourier(s / n, np.sqrt(np.maximum(ss / n - (s / n) ** 2, 0)))
 
+    d = FEATURES + 1
+
     def normal(batch):
-        z, y = fourier(_matrix(batch.column("stats"))), batch.column("y").to_numpy()
-        yield from enumerate(np.column_stack([z.T @ z, z.T @ y]))  # a key for each row of the system spreads the sums
+        z, y, fold = fourier(_matrix(batch.column("stats"))), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+        for f in (0, 1):  # a key for each row of the system spreads the sums
+            here = fold == f
+            yield from enumerate(np.column_stack([z[here].T @ z[here], z[here].T @ y[here]]), f * d)
 
-    d = FEATURES + 1
-    g = _summed(rows, ["stats", "y"], normal)
-    system = np.stack([g[k] for k in range(d)])
+    g = _summed(rows, ["stats", "y", "fold"], normal)
+    halves = [np.stack([g[f * d + k] for k in range(d)]) for f in (0, 1)]
     ridge = RIDGE * np.eye(d)
     ridge[-1, -1] = 1e-6
-    beta = np.linalg.solve(system[:, :d] + ridge, system[:, d])
+    solve = lambda system: np.linalg.solve(system[:, :d] + ridge, system[:, d])
+    beta = solve(halves[0] + halves[1])
+    # the curve is learnt from scores that their own labels had no part in; a half without rows has no scores to give
+    other = [solve(halves[1 - f]) if halves[1 - f][-1, -2] else beta for f in (0, 1)]
 
-    def bins(x: np.ndarray) -> np.ndarray:
-        return np.clip(((fourier(x) @ beta + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
+    def bins(x: np.ndarray, by: np.ndarray = beta) -> np.ndarray:
+        return np.clip(((fourier(x) @ by + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
 
     def histogram(batch):
-        k, y = bins(_matrix(batch.column("stats"))), batch.column("y").to_numpy()
+        x, y, fold = _matrix(batch.column("stats")), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+        k = np.where(fold == 0, bins(x, other[0]), bins(x, other[1]))
         yield 0, np.concatenate([np.bincount(k, weights=y, minlength=BINS), np.bincount(k, minlength=BINS)])
 
-    h = _summed(rows, ["stats", "y"], histogram)[0]
+    h = _summed(rows, ["stats", "y", "fold"], histogram)[0]
     curve = pool_adjacent(h[:BINS], h[BINS:])
     return lambda x: curve[bins(x)]
 

@@ -21,7 +21,7 @@ from lodespark.operators.components import connected_components
 #: Vectors of a block, most pivots, and vectors of the sample that pivots are chosen from.
 BLOCK, PIVOTS, SAMPLE = 2048, 1024, 4096
 #: Distances are rounded; bounds give way by this much, and the pairs left are decided by their cosine.
-SLACK = 1e-9
+SLACK = 1e-7
 
 
 class Node:
