@@ -42,9 +42,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null texts count as empty; a null id stays only if no other document has its text. An empty table stays empty.
     """
     prepare(spark)
-    name = _fresh(docs, "kept_id")
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
-    return _columns(docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi"), docs)
+    name, digest, own = (_fresh(docs, x) for x in ("kept_id", "kept_sha256", "own_sha256"))
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(digest)).distinct()
+    rows = docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256))
+    return _columns(rows.join(kept, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(own) == F.col(digest)), "left_semi"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
