@@ -3,8 +3,8 @@
 A task turns whole texts into sets of word-shingle hashes and takes 128 minima of each. Bands of four minima give
 candidate buckets; of every minimum only the low four bits are kept, packed into 64 bytes, and the share of equal
 groups of bits, corrected for chance, estimates the similarity of a candidate pair. Links are confirmed on the full
-sets. Equal sets are collapsed first. A bucket is never expanded into pairs: its members are compared with the bucket's
-smallest. Where this leaves a bucket with several components, links between these are found through the rarest shingles
+sets. Equal sets are collapsed first. A bucket is never expanded into pairs: its members are compared with the one of
+them that meets most others. Where this leaves several components, links between these are found by the rarest shingles
 of the sets, one of which two linked sets must share, so none is lost.
 """
 
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = cut(reps.select("rep", "bits", "bands").dropDuplicates(["rep", "bands"]))
     members = reps.select("rep", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
-    members = cut(members.join(buckets, "band").select("band", "rep", "first"))
+    members = cut(_headed(members.join(buckets.select("band"), "band")))
     bits = reps.select("rep", "bits")
     enough = enough_equal(percent / 100)
     stars = members.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
@@ -230,6 +230,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def _headed(members: DataFrame) -> DataFrame:
+    """(band, rep, first) of (band, rep): ``first`` is the bucket's member that meets most others in all of its buckets, ties by id.
+
+    Among copies with changes of their own that is the text they were made from, which is nearer to each of them than they
+    are to each other.
+    """
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+    degrees = members.join(sizes, "band").groupBy("rep").agg(F.sum("size").alias("degree"))
+    ranked = members.join(degrees, "rep")
+    most = ranked.groupBy("band").agg(F.max("degree").alias("degree"))
+    heads = ranked.join(most, ["band", "degree"]).groupBy("band").agg(F.min("rep").alias("first"))
+    return members.join(heads, "band").select("band", "rep", "first")
+
+
 def _likely(pairs: DataFrame, bits: DataFrame, enough: int) -> DataFrame:
     """The (a, b) pairs whose packed bits agree often enough."""
     both = pairs.join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("vb")), "b").join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("va")), "a")
