@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,3 +76,25 @@ def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         yield at, stop - at
         at = stop
+
+
+def binary(column: pa.Array) -> list[bytes | None]:
+    """A string column's values as UTF-8 bytes."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+#: Bytes of a text that are split into words at a time, and where the next part may begin.
+PART = 1 << 20
+_BREAK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_parts(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text (WORD) in order, as lists of those in about PART bytes each."""
+    at = 0
+    while len(text) - at > PART:
+        found = _BREAK.search(text, at + PART)
+        if not found:
+            break
+        yield text[at : found.start()].split()
+        at = found.end()
+    yield (text[at:] if at else text).split()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodespark.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, suffix_dedup, vector_links, warc
+from lodespark.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, periodic_runs, phrases, quality, suffix_dedup, vector_links, warc
 from lodespark.llm.common import table
 
 
@@ -51,8 +51,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), max_n=3, least=10, share=50, top=2000)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_vector_links, op4_line_dedup, op5_minhash, op6_warc, op7_byte_bpe, op8_pareto_mix, op9_language_id, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_vector_links, op4_line_dedup, op5_minhash, op6_warc, op7_byte_bpe, op8_pareto_mix, op9_language_id, op10_quality, op12_collocations, op13_periodic_runs)}
 
 
 EXACT_DEDUP = """
@@ -132,5 +140,22 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
 
+COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: list_aggregate(w[i : i + m - 1], 'string_agg', ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m),
+c AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE m = 1 GROUP BY lang),
+k AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS p FROM c WHERE m > 1 AND f >= 10),
+gone AS (SELECT DISTINCT x.lang, x.phrase FROM k x JOIN k y ON x.lang = y.lang AND x.m < y.m AND (x.p = y.p[1 : x.m] OR x.p = y.p[y.m - x.m + 1 : y.m]) AND 100 * y.a >= 50 * x.a),
+cuts AS (SELECT k.*, j, array_to_string(p[1 : j], ' ') AS head, array_to_string(p[j + 1 : m], ' ') AS tail FROM k, (SELECT unnest([1, 2]) AS j) WHERE j < m),
+s AS (SELECT cuts.lang, cuts.phrase, a, j, h.f AS l, t.f AS r, CAST((1000000::HUGEINT * a * a) // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+      FROM cuts JOIN c h ON h.lang = cuts.lang AND h.phrase = head JOIN c t ON t.lang = cuts.lang AND t.phrase = tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": SUFFIX_DEDUP, "op2_exact_dedup": EXACT_DEDUP, "op3_vector_links": VECTOR_LINKS, "op5_minhash": MINHASH, "op6_warc": WARC, "op8_pareto_mix": PARETO_MIX}
+    return {"op1_suffix_dedup": SUFFIX_DEDUP, "op2_exact_dedup": EXACT_DEDUP, "op3_vector_links": VECTOR_LINKS, "op5_minhash": MINHASH, "op6_warc": WARC, "op8_pareto_mix": PARETO_MIX, "op12_collocations": COLLOCATIONS}
