@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodespark.llm import byte_bpe, exact_dedup, language, line_dedup, mixing, near_dedup, periodic_runs, phrases, quality, suffix_dedup, vector_links, warc
+from lodespark.llm import byte_bpe, exact_dedup, fertility, language, line_dedup, mixing, near_dedup, periodic_runs, phrases, quality, suffix_dedup, vector_links, warc
 from lodespark.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"), fertility.default_vocabularies())
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), max_n=3, least=10, share=50, top=2000)
 
@@ -60,7 +64,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_vector_links, op4_line_dedup, op5_minhash, op6_warc, op7_byte_bpe, op8_pareto_mix, op9_language_id, op10_quality, op12_collocations, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_vector_links, op4_line_dedup, op5_minhash, op6_warc, op7_byte_bpe, op8_pareto_mix, op9_language_id, op10_quality, op11_fertility, op12_collocations, op13_periodic_runs)}
 
 
 EXACT_DEDUP = """
