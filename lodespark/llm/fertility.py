@@ -28,8 +28,9 @@ TEXTS = 8 << 20
 LEAST = 30
 #: A value may lie this many robust standard deviations (quartile distance / 1.349) from the median ...
 SPREADS = 6.0
-#: ... or this far at least: a share of the median for characters per token, absolute for share and entropy (bits).
-SLACK = {"chars_per_token": 0.10, "byte_share": 0.05, "entropy": 1.0}
+#: ... or this far at least: for characters per token a share of the median, to which 0.5 / sqrt(words) comes for the noise
+#: of a mean over few words; absolute for byte share and entropy (bits).
+SLACK = {"chars_per_token": 0.05, "byte_share": 0.05, "entropy": 0.8}
 _SYMBOLS = b"#*$%&|<>"
 _BLANK = bytes([32, *range(9, 14)])
 _INNER = bytes(range(0x80, 0xC0))
@@ -200,7 +201,8 @@ def bands(measured: DataFrame, columns: dict[str, str], least: int = LEAST, spre
     out = rows.groupBy("language", "length").agg(F.count(F.lit(1)).alias("documents"), *quartiles).where(F.col("documents") >= least)
 
     def reach(c: str, kind: str) -> Column:
-        near = slack[kind] * F.col(c)[1] if kind == "chars_per_token" else F.lit(slack[kind])
+        words = F.pow(F.lit(2.0), F.when(F.col("length") >= 0, F.col("length")).otherwise(4))  # the fewest of this band
+        near = (slack[kind] + 0.5 / F.sqrt(words)) * F.col(c)[1] if kind == "chars_per_token" else F.lit(slack[kind])
         return F.greatest(spreads / 1.349 * (F.col(c)[2] - F.col(c)[0]), near)
 
     low = [(F.col(c)[1] - reach(c, kind) if kind != "byte_share" else F.lit(float("-inf"))).alias(f"low_{c}") for c, kind in columns.items()]

@@ -104,10 +104,10 @@ def test_rules_against_brute_force(spark, coders):
     for i, m in measured.items():
         outside = 0
         for k in range(5):
-            group = next((g for length in (m[1][0].bit_length() - 1, -1) if len(g := groups[m[0], length]) >= fertility.LEAST), None)
+            length, group = next(((x, g) for x in (m[1][0].bit_length() - 1, -1) if len(g := groups[m[0], x]) >= fertility.LEAST), (0, None))
             if group and flat[i][k] is not None:
                 q1, q2, q3 = np.quantile([round(x[2 + k], 4) for x in group], [0.25, 0.5, 0.75])
-                reach = max(6 / 1.349 * (q3 - q1), [0.1 * q2, 0.1 * q2, 0.1 * q2, 0.05, 1.0][k])
+                reach = max(6 / 1.349 * (q3 - q1), (0.05 + 0.5 / 2 ** (length / 2 if length >= 0 else 2)) * q2 if k < 3 else [0.05, 0.8][k - 3])
                 outside += (flat[i][k] < q2 - reach and k != 3) or (flat[i][k] > q2 + reach and k != 4)
         assert (got[i].base_failed, got[i].n_outside, got[i].kept) == (not ok[i], outside, ok[i] and not outside), (i, flat[i])
     assert not got[300].kept and not got[301].kept and not got[302].kept and got[306].kept and sum(got[k].kept for k in range(260)) >= 258
