@@ -1,6 +1,6 @@
 """Phrase collocations: runs of words that occur together far more often than their parts would by chance.
 
-All 1..max_n-grams become rows (lang, words, phrase, f), added up by hash aggregation; a task adds up what it has read
+All 1..max_n-grams become rows (lang, phrase, f), added up by hash aggregation; a task adds up what it has read
 before its rows leave Python, so frequent phrases reach the shuffle once for each block of text. Candidates then meet the
 counts of their first and last parts by equi-joins, scores are whole divisions of decimals, candidates that live inside
 a longer one leave by an anti-join with its one-word-shorter parts, and each language's first ones are ranked in two
@@ -14,7 +14,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lodespark.llm.common import binary, slices, written
 
 #: Bytes of text that a task adds up together, and rows that it hands over at a time.
-TOGETHER, ROWS = 24 << 20, 1 << 16
+TOGETHER, ROWS = 8 << 20, 1 << 16
 #: A-Z in lower case, every mark that ends a piece as a full stop, tabs as spaces.
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + b",;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"." * 9 + b" ")
 _SPACE = re.compile(b" ")
@@ -43,8 +42,8 @@ def _parts(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
     yield data[at:].split(b" ")
 
 
-def _grams(texts: list[bytes], max_n: int, most: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(words, phrases, counts) of all 1..max_n-grams; phrases are distinct within each block of ``most`` bytes."""
+def _grams(texts: list[bytes], min_n: int, max_n: int, most: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(words, phrases, counts) of all min_n..max_n-grams; phrases are distinct within each block of ``most`` bytes."""
     before: list[bytes] = []
     for part in _parts(texts, most):
         words = before + [w for w in part if w]
@@ -53,45 +52,51 @@ def _grams(texts: list[bytes], max_n: int, most: int) -> Iterator[tuple[int, pa.
         if len(words) == new:
             continue
         coded = pa.array(words, pa.binary()).dictionary_encode()
-        codes, v = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-        is_word = np.array(words, dtype=object) != b"."
-        own, names = np.where(is_word, codes, -1), coded.dictionary
+        by_name = pc.sort_indices(coded.dictionary).to_numpy()
+        names = vocabulary = coded.dictionary.take(pa.array(by_name))
+        place = np.empty(len(by_name), np.int64)
+        place[by_name] = np.arange(len(by_name))
+        codes, v = place[coded.indices.to_numpy()], len(names)
+        stop = names.index(b".").as_py()
+        is_word, own = codes != stop, np.where(codes != stop, codes, -1)
         for n in range(1, max_n + 1):
-            if n > 1:
-                keys = np.where((own[:-1] >= 0) & is_word[n - 1 :], own[:-1] * v + codes[n - 1 :], -1)
-                own, distinct = pd.factorize(np.append(keys, -1))
-                none = own[-1]
-                own = np.where(own[:-1] == none, -1, own[:-1])
-                distinct = np.maximum(distinct, 0)  # the name of what is no phrase is never used
-                names = pc.binary_join_element_wise(names.take(pa.array(distinct // v)), coded.dictionary.take(pa.array(distinct % v)), pa.scalar(b" ", pa.binary()))
+            if n > 1:  # a phrase's number is that of its first n - 1 words and its last word; numbers are in order of names
+                distinct, own = np.unique(np.where((own[:-1] >= 0) & is_word[n - 1 :], own[:-1] * v + codes[n - 1 :], -1), return_inverse=True)
+                gaps = int(len(distinct) > 0 and distinct[0] < 0)
+                distinct, own = distinct[gaps:], own - gaps
+                names = pc.binary_join_element_wise(names.take(pa.array(distinct // v)), vocabulary.take(pa.array(distinct % v)), pa.scalar(b" ", pa.binary()))
             fresh = own[max(0, new - n + 1) :]  # what ends before the new words was counted with the last block
-            counts = np.bincount(fresh[fresh >= 0], minlength=len(names))
-            there = np.flatnonzero(counts)
-            yield n, names.take(pa.array(there)), counts[there]
+            if n >= min_n:
+                counts = np.bincount(fresh[fresh >= 0], minlength=len(names))
+                there = np.flatnonzero(counts)
+                yield n, names.take(pa.array(there)), counts[there]
 
 
-def phrase_counts(docs: DataFrame, max_n: int = 3, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, words, phrase, f): how often each phrase of 1 to ``max_n`` words stands in the texts of each language.
+def phrase_counts(docs: DataFrame, min_n: int = 1, max_n: int = 3, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, phrase, f): how often each phrase of ``min_n`` to ``max_n`` words stands in the texts of each language.
 
     Letters A-Z count as a-z. A phrase lies within a piece, that is between two of ``. , ; : ! ?`` and line ends; its
     words are split by spaces and tabs and joined by one space. Overlapping occurrences all count. Null languages are
     ``und``, null texts empty.
+
+    Rows are dealt out by key before Spark adds them up: most long phrases are unlike any other that a task has, and a
+    task's own hash map of them would only spill.
     """
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    return _counted(rows, max_n).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    return _counted(rows, min_n, max_n).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _counted(rows: DataFrame, max_n: int) -> DataFrame:
+def _counted(rows: DataFrame, min_n: int, max_n: int) -> DataFrame:
     """The n-grams of each block of text with their counts there."""
 
     def flushed(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         for lang, texts in held.items():
-            for n, phrases, counts in _grams(texts, max_n, TOGETHER):
+            for _, phrases, counts in _grams(texts, min_n, max_n, TOGETHER):
                 for at in range(0, len(counts), ROWS):
                     k = len(counts[at : at + ROWS])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang]).take(pa.array(np.zeros(k, np.int64))), pa.array(np.full(k, n, np.int32)), phrases.slice(at, k).cast(pa.string()), pa.array(counts[at : at + k].astype(np.int64))],
-                        ["lang", "words", "phrase", "f"],
+                        [pa.array([lang]).take(pa.array(np.zeros(k, np.int64))), phrases.slice(at, k).cast(pa.string()), pa.array(counts[at : at + k].astype(np.int64))],
+                        ["lang", "phrase", "f"],
                     )
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +113,7 @@ def _counted(rows: DataFrame, max_n: int) -> DataFrame:
                     held, size = defaultdict(list), 0
         yield from flushed(held)
 
-    return rows.mapInArrow(explode, "lang string, words int, phrase string, f bigint")
+    return rows.mapInArrow(explode, "lang string, phrase string, f bigint")
 
 
 def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, share: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -117,10 +122,13 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, share: int =
     Candidates occur ``a >= least`` times. A cut after k words gives l and r, the counts of both parts, and the score
     floor(1000000 * a * a / (l * r)); the least over all cuts counts, at ties that of the smallest k. A candidate goes if
     some longer one that has it inside occurs at least ``share`` per cent as often; it is enough to look one word further,
-    since what lies between occurs no less often than the longer one. n is the number of all words of the language.
+    since what lies between occurs no less often than the longer one. ``max_n`` is 2 at least. n is the number of all words of the language.
     Counts are exact up to 10^15. An empty table, or one without candidates, gives no rows.
     """
-    all_counts = written(phrase_counts(docs, max_n, text_col, lang_col).where((F.col("words") == 1) | (F.col("f") >= least)), "phrase-counts")
+    # the longest phrases are most of the rows: counted by themselves, so that the shuffles follow each other
+    parts = [phrase_counts(docs, low, high, text_col, lang_col).where((F.instr("phrase", " ") == 0) | (F.col("f") >= least)) for low, high in ((1, max_n - 1), (max_n, max_n))]
+    all_counts = written(parts[0], "phrase-counts").unionByName(written(parts[1], "phrase-counts"))
+    all_counts = all_counts.withColumn("words", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
     sizes = all_counts.where("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     counts = all_counts.where(F.col("f") >= least)
     found = counts.where("words > 1").withColumnRenamed("f", "a")
