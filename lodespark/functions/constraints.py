@@ -123,7 +123,10 @@ def tree(query: str) -> Node | None:
 
 
 def predicate(node: Node, columns: list[Column], case_sensitive: bool = False) -> Column:
-    """Whether a row meets the tree: a term is met if any of the columns contains it. Null columns contain nothing; never null."""
+    """Whether a row meets the tree: a term is met if any of the columns contains it. Null columns contain nothing.
+
+    Never null if letters' case is ignored; with ``case_sensitive`` null may stand for false, and the whole predicate reaches the scan.
+    """
 
     def met(n: Node) -> Column:
         if n.kind == "term":
@@ -134,12 +137,13 @@ def predicate(node: Node, columns: list[Column], case_sensitive: bool = False) -
             return ~met(n.parts[0])
         return reduce(Column.__and__ if n.kind == "and" else Column.__or__, map(met, n.parts))
 
-    def bare(n: Node) -> Column:
-        """The same without care for nulls, where no NOT stands above: a form that scans understand."""
+    def bare(n: Node, wanted: bool = True) -> Column:
+        """The same in a form that scans understand: negation stands at the terms, where nulls are asked for by name."""
         if n.kind == "term":
-            return reduce(Column.__or__, [c.contains(n.term) for c in columns])
+            hits = [c.contains(n.term) if wanted else c.isNull() | ~c.contains(n.term) for c in columns]
+            return reduce(Column.__or__ if wanted else Column.__and__, hits)
         if n.kind == "not":
-            return met(n)
-        return reduce(Column.__and__ if n.kind == "and" else Column.__or__, map(bare, n.parts))
+            return bare(n.parts[0], not wanted)
+        return reduce(Column.__and__ if (n.kind == "and") == wanted else Column.__or__, [bare(x, wanted) for x in n.parts])
 
     return F.coalesce(met(node), F.lit(False)) if not case_sensitive else bare(node)
