@@ -59,7 +59,7 @@ def paper_filter(min_year: int | None = None, max_year: int | None = None, min_c
     tests += [F.col("year") >= min_year] if min_year is not None else []
     tests += [F.col("year") <= max_year] if max_year is not None else []
     tests += [F.coalesce("citations", F.lit(0)) >= min_citations] if min_citations is not None else []
-    tests += [T.normalize(F.col("venue")).isin(*(v.lower() for v in venues))] if venues else []
+    tests += [T.normalize(F.col("venue")).isin(*(T.normalize(F.lit(v)) for v in venues))] if venues else []
     return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
 
@@ -179,7 +179,7 @@ def set_scores(members: DataFrame, required: list[str], hard: list[str]) -> Data
 
     Mean usefulness + 0.1 coverage of the required kinds + 0.1 share of traits that one member alone brings
     - 0.15 share of members whose kinds another already has - 0.05 share without kinds - 0.3 share with a hard negative;
-    every member has an id, which adds the full 0.1 of provenance.
+    every member has an id, which adds the full 0.1 of provenance. Without required kinds coverage is 0.
     """
     base = members.groupBy("set_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("usefulness").alias("mean"), F.count_if(F.size("kinds") == 0).alias("bare"),
@@ -191,7 +191,7 @@ def set_scores(members: DataFrame, required: list[str], hard: list[str]) -> Data
     rows = base.join(kinds, "set_id", "left").join(traits, "set_id", "left").fillna(0, ["met", "all_traits", "own_traits"])
     share = lambda c: F.col(c) / F.col("n")
     parts = {
-        "mean": F.col("mean"), "coverage": F.col("met") / len(required), "complement": F.when(F.col("all_traits") > 0, F.col("own_traits") / F.col("all_traits")).otherwise(0.0),
+        "mean": F.col("mean"), "coverage": F.col("met") / max(1, len(required)), "complement": F.when(F.col("all_traits") > 0, F.col("own_traits") / F.col("all_traits")).otherwise(0.0),
         "redundancy": (F.col("n") - F.col("signatures")) / F.col("n"), "bare": share("bare"), "hard": share("hard"),
     }
     total = parts["mean"] + 0.1 * parts["coverage"] + 0.1 * parts["complement"] + 0.1 - 0.15 * parts["redundancy"] - 0.05 * parts["bare"] - 0.3 * parts["hard"]

@@ -200,7 +200,7 @@ def nodes_by_name(names: DataFrame, wanted: list[str]) -> DataFrame:
     """Nodes of (node, name), one row for each label or alias, that go by one of the wanted names, case and punctuation ignored."""
     from lodespark.functions import text as T
 
-    return names.where(T.normalize(F.col("name")).isin(*(w.lower() for w in wanted))).select("node").distinct()
+    return names.where(T.normalize(F.col("name")).isin(*(T.normalize(F.lit(w)) for w in wanted))).select("node").distinct()
 
 
 def hierarchy_score(have: DataFrame, asked: list[str], closure: DataFrame) -> DataFrame:

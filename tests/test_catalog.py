@@ -30,10 +30,10 @@ def test_gate_levels_completeness(spark):
 
 
 def test_adjudication(spark):
-    rows = [("a", 1, 2, None, False), ("a", 2, 2, None, False), ("b", 1, 1, None, False), ("b", 2, 3, None, False), ("c", 1, 1, None, True), ("d", 1, 0, 2, False), ("d", 2, 0, 3, False), ("d", 3, 1, None, False), ("e", 1, None, 3, False)]
+    rows = [("a", 1, 2, None, False), ("a", 2, 2, None, False), ("b", 1, 1, None, False), ("b", 2, 3, None, False), ("c", 1, 1, None, True), ("d", 1, 0, 2, False), ("d", 2, 0, 3, False), ("d", 3, 1, None, False), ("e", 1, None, 3, False), ("f", 1, 2, None, None), ("f", 2, 2, None, None), ("g", 1, 2, None, None), ("g", 2, 2, None, True)]
     df = spark.createDataFrame(rows, "candidate string, at int, score int, final int, violation boolean")
     got = {r.candidate: (r.score, r.status, r.disagreement) for r in L.adjudicated(df).collect()}
-    assert got == {"a": (2, "agreement", False), "b": (1, "needs_adjudication", True), "c": (1, "single_review", False), "d": (3, "adjudicated", True)}
+    assert got == {"a": (2, "agreement", False), "b": (1, "needs_adjudication", True), "c": (1, "single_review", False), "d": (3, "adjudicated", True), "f": (2, "agreement", False), "g": (2, "needs_adjudication", True)}
 
 
 def test_silver_labels(spark):
@@ -90,3 +90,16 @@ def test_relation_counts_equal_the_edges(spark):
     edges = {r.relation: r["count"] for r in Lit.cross_finding_edges(df).groupBy("relation").count().collect()}
     counts = {r.relation: r.n for r in Lit.relation_counts(df).groupBy("relation").agg(F.sum("pairs").alias("n")).collect()}
     assert edges == counts and Lit.relation_counts(df.where("false")).count() == 0
+
+
+def test_asked_names_are_normalised_like_stored_ones(spark):
+    names = spark.createDataFrame([("n1", "Two-Photon imaging."), ("n2", "other"), ("n3", None)], "node string, name string")
+    assert [r.node for r in G.nodes_by_name(names, ["two/photon  Imaging"]).collect()] == ["n1"]
+    papers = spark.createDataFrame([(1, "J. Neuro-Science"), (2, None)], "id int, venue string")
+    assert [r.id for r in papers.where(C.paper_filter(venues=["j neuro science."])).collect()] == [1]
+
+
+def test_sets_without_required_kinds(spark):
+    members = spark.createDataFrame([(1, "a", 0.5, ["x"], ["t"])], "set_id int, item string, usefulness double, kinds array<string>, traits array<string>")
+    (row,) = C.set_scores(members, [], ["y"]).collect()
+    assert (row.coverage, row.score) == (0.0, 0.7)
