@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodespark.llm import byte_bpe, exact_dedup, language, mixing, near_dedup
-from lodespark.llm.common import fresh_dir, table
+from lodespark.llm.common import fresh_dir, keyed, table
 from lodespark.session import prepare
 
 
@@ -51,12 +51,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays.
 
-    Documents without words and those with a null id link with nothing and stay. An empty table stays empty.
+    Documents without words link with nothing and stay. Rows with a null id are documents of their own after all others.
+    An empty table stays empty.
     """
     prepare(spark)
-    name = _fresh(docs, "gone_id")
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    return _columns(docs.join(gone, F.col("doc_id") == F.col(name), "left_anti"), docs)
+    name, own = _fresh(docs, "gone_id"), _fresh(docs, "row_key")
+    rows, _ = keyed(docs, "doc_id", own)
+    gone = near_dedup.near_duplicates(rows, id_col=own).where("NOT kept").select(F.col(own).alias(name)).distinct()
+    return _columns(rows.join(gone, F.col(own) == F.col(name), "left_anti"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

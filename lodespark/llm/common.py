@@ -6,12 +6,12 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word: a longest run of bytes other than space and \\t..\\r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +68,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def keyed(rows: DataFrame, id_col: str, key: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``rows`` with a column ``key`` that is never null and orders as the ids do, rows without an id last, each its own; and how to get the id from a key.
+
+    The key is the id itself, or (number of a row without an id or -1, id) in a struct where such rows exist. These are numbered once,
+    in a table in the shared folder, so that a lost executor can't number them anew; other rows are not copied.
+    """
+    own = F.col(id_col)
+    none = rows.where(own.isNull())
+    if none.isEmpty():
+        return rows.withColumn(key, own), lambda c: c
+    # fields in alphabetical order: unionByName puts those of structs in that order on one side if only nullability differs
+    pair = lambda n: F.struct(n.alias("at"), own.alias("id"))
+    numbered = written(none.withColumn(key, pair(F.monotonically_increasing_id())), "rows-without-id")
+    known = rows.where(own.isNotNull()).withColumn(key, pair(F.lit(-1).cast("bigint")))
+    return known.unionByName(numbered), lambda c: c["id"]
+
+
 def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """(start, rows) of runs of rows with about ``most`` bytes together; what a task makes of one is gone before the next."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -10,14 +10,14 @@ of the sets, one of which two linked sets must share, so none is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodespark.llm.common import cut, slices
+from lodespark.llm.common import cut, keyed, slices
 from lodespark.operators.components import connected_components
 
 #: Minima, minima of a band, bits kept of each minimum. At similarity 0.8 a pair misses every band once in 10^7.
@@ -115,8 +115,10 @@ def _chunks(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, list[by
         yield at, [t or b"" for t in texts.slice(at, n).to_pylist()]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """(id, text), where ``id`` is the key of ``keyed``, and how to get the id from it."""
+    rows, own = keyed(docs.select(F.col(id_col).alias("own"), F.col(text_col).cast("binary").alias("text")), "own", "id")
+    return rows.select("id", "text"), own
 
 
 def sketches(rows: DataFrame, width: int, least: int) -> DataFrame:
@@ -199,12 +201,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when their sets of ``width``-word shingles have ``100 * intersection >= percent * union``; words are
     compared with A-Z as a-z. Documents without words link with nothing. component_id is the smallest id reachable, and
     that document is kept. Rows that share an id are one document: it links through any of its texts. Rows with a null
-    id link with nothing: their component is null, and they are kept. Whole texts count, of any length.
+    id are documents of their own and come after all others: a group of nothing else has a null component, and one of it
+    is kept. Whole texts count, of any length.
     """
-    rows = _rows(docs, id_col, text_col)
+    rows, own = _rows(docs, id_col, text_col)
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 60
     base = cut(sketches(rows, width, least))
-    known = base.where("n > 0 AND id IS NOT NULL")
+    known = base.where("n > 0")
     groups = known.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
     reps = known.where("bands IS NOT NULL").select("id", "set_a", "set_b", "bits", "bands").join(groups, ["set_a", "set_b"]).where("id = rep")
     reps = cut(reps.select("rep", "bits", "bands").dropDuplicates(["rep", "bands"]))
@@ -227,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = known.select("id", "set_a", "set_b").join(places, ["set_a", "set_b"]).groupBy("id").agg(F.min("component").alias("component"))
     out = base.select("id", "n").join(shared, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(own(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), own(component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
 def _headed(members: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodespark.llm.bwt import repeated_starts
-from lodespark.llm.common import written
+from lodespark.llm.common import keyed, written
 
 #: Bytes of an anchor; bits of the place that break ties between hashes; bytes whose transforms one call merges.
 ANCHOR, PLACE_BITS, MERGE_BYTES = 64, 31, 1 << 20
@@ -219,7 +219,7 @@ def _shared_by_start(parts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(id, start, stop): byte ranges of (id, text) rows that repeated strings cover; they may overlap."""
-    found = _found(rows.where("id IS NOT NULL"), length)
+    found = _found(rows, length)
     by_anchor, equal = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
     many = found.withColumn("total", F.sum("n").over(by_anchor)).where("n = 0 OR total > 1")
     many = many.withColumn("times", F.sum("n").over(equal)).withColumn("k", F.row_number().over(equal.orderBy("id", "at")))
@@ -230,7 +230,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     whole = many.where("n = 0 OR times > 1").select("id", F.col("at").cast("bigint").alias("start"), (F.col("at") + F.col("bytes")).cast("bigint").alias("stop"))
     texts = written(_texts_of(rows, many.where("one")), "segment-texts")
     narrow = _shared(texts.where(F.col("kinds") < WIDE), length)
-    return whole.unionByName(narrow).unionByName(_shared_by_start(texts.where(F.col("kinds") >= WIDE), length))
+    return whole.union(narrow).union(_shared_by_start(texts.where(F.col("kinds") >= WIDE), length))
 
 
 def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -251,10 +251,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, kept, n_bytes, n_removed, spans) for every row: ``kept`` holds the bytes that no repeated string covers.
 
     A string of ``length`` bytes repeats if it starts at another byte of any document too, overlaps included; it is
-    judged on the input. Null texts are empty. Rows with a null id are neither examined nor changed. Rows that share an
-    id are places of their own, but what is found in one is removed from all of them, as far as they reach.
+    judged on the input. Null texts are empty. Rows that share an id are places of their own, but what is found in one is
+    removed from all of them, as far as they reach; rows with a null id do not share it.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows, own = keyed(docs.select(F.col(id_col).alias("own"), F.col(text_col).cast("binary").alias("text")), "own", "id")
+    rows = rows.select("id", "text")
     lists = repeated_spans(rows, length).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = rows.join(lists, "id", "left").select("id", "text", "spans")
 
@@ -274,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kind = rows.schema["id"].dataType.simpleString()
     out = joined.mapInArrow(drop, f"id {kind}, kept binary, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>")
-    return out.withColumnRenamed("id", id_col)
+    return out.select(own(F.col("id")).alias(id_col), *out.columns[1:])
 
 
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:

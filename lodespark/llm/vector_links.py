@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodespark.llm.common import cut
+from lodespark.llm.common import cut, keyed
 from lodespark.operators.components import connected_components
 
 #: Vectors of a block, most pivots, and vectors of the sample that pivots are chosen from.
@@ -163,7 +163,7 @@ def joining(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndar
 
 def _pack(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """(id, label, dim, unit): unit vectors as packed doubles; vectors that link with nothing are left out."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND label IS NOT NULL AND size(v) > 0")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v")).where("label IS NOT NULL AND size(v) > 0")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,10 +248,13 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     Vectors link when their labels are equal and not null and their cosine in double precision is at least ``cosine``.
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing, nor do vectors of
-    different lengths or rows with a null id. n_links counts the other rows linked directly, equal vectors included;
-    rows that share an id count as one place: its links are added up and its components joined.
+    different lengths. n_links counts the other rows linked directly, equal vectors included; rows that share an id count
+    as one place: its links are added up and its components joined. Rows with a null id are places of their own after all
+    others: a group of nothing else has a null component, and one of it is kept.
     """
-    packed = cut(_pack(vectors, id_col, vec_col, label_col))
+    vectors = vectors.select(F.col(id_col).alias("own"), F.col(vec_col).alias("vector"), F.col(label_col).alias("label"))
+    vectors, id_of = keyed(vectors, "own", "key")
+    packed = cut(_pack(vectors, "key", "vector", "label"))
     units = cut(packed.groupBy("label", "dim", "unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     most = units.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     pivots = _pivots(units, max(1, min(PIVOTS, -(-most // BLOCK))))
@@ -300,6 +303,6 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     groups = units.select("label", "dim", "unit", "rep", "n").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
     groups = groups.select("label", "dim", "unit", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     by_id = packed.join(groups, ["label", "dim", "unit"]).groupBy("id").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
-    out = vectors.select(F.col(id_col).alias("id")).join(by_id, "id", "left")
+    out = vectors.select(F.col("key").alias("id")).join(by_id, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(id_of(F.col("id")).alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), id_of(component).alias("component_id"), (F.col("id") == component).alias("kept"))

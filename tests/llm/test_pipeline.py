@@ -57,19 +57,21 @@ def last_of_equal(rows):
 
 
 def first_of_near(rows):
-    ids = sorted({r[0] for r in rows if r[0] is not None})
+    """Rows without an id are documents of their own after all others."""
+    keys = [(r[0] is None, k if r[0] is None else r[0]) for k, r in enumerate(rows)]
     sets = defaultdict(set)
-    for r in rows:
+    for key, r in zip(keys, rows, strict=True):
         w = [x.lower() for x in WORD.findall(r[1] or "")]
-        if r[0] is not None and w:
-            sets[r[0]] |= {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+        if w:
+            sets[key] |= {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    ids = sorted(set(keys))
     group = {i: i for i in ids}
     for _ in ids:
         for a in ids:
             for b in ids:
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     group[a] = group[b] = min(group[a], group[b])
-    return [r for r in rows if r[0] is None or group[r[0]] == r[0]]
+    return [r for key, r in zip(keys, rows, strict=True) if group[key] == key]
 
 
 def mixed(spark, rows):
