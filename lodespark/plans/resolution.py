@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodespark.functions import constraints as C
+from lodespark.functions import text as T
+from lodespark.operators import containment as K
 from lodespark.operators import entities as E
 from lodespark.operators import spans as P
+from lodespark.plans.texts import NORM
 from lodespark.sources import tables as S
 
 #: NOT before AND before OR; the bracket changes that.
@@ -98,6 +101,30 @@ def _spans(spark, d):
     return P.locate_spans(pairs.join(wanted, "item_id").join(docs, "doc_id"), least=0.3).withColumn("match_score", F.round("match_score", 3))
 
 
+#: (first word, words) of a passage's terms.
+TERMS = [(1, 2), (3, 2), (1, 12)]
+
+
+def _record_concepts(spark, d):
+    """Documents as records, each sentence part of the whole text a term; passages as concepts, some runs of words their terms."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("record"), F.explode(F.split("text", r"[.,;:!?\n]+")).alias("term"))
+    items = S.table(spark, d, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("concept"), T.tokens(F.col("text")).alias("w"))
+    concepts = items.select("concept", F.explode(F.array(*(F.array_join(F.slice("w", at, n), " ") for at, n in TERMS))).alias("term"))
+    return K.contained_concepts(docs, concepts)
+
+
+WHITE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+SET_OF = f"list_sort(list_distinct(list_filter(regexp_split_to_array(translate(lower(term), '_-', '  '), '{WHITE}'), lambda w: w <> '')))"
+RUNS = ", ".join(f"array_to_string(w[{at} : {at + n - 1}], ' ')" for at, n in TERMS)
+RECORD_CONCEPTS = f"""WITH pieces AS (SELECT doc_id AS record, unnest(regexp_split_to_array(text, '[.,;:!?\n]+')) AS term FROM documents WHERE text IS NOT NULL),
+b AS (SELECT 'item_' || item_id AS concept, list_filter(string_split({NORM.format(x='text')}, ' '), lambda w: w <> '') AS w FROM benchmark),
+r AS (SELECT DISTINCT record, {SET_OF} AS t FROM pieces), c AS (SELECT DISTINCT concept, {SET_OF} AS t FROM (SELECT concept, unnest([{RUNS}]) AS term FROM b)),
+rs AS (SELECT row_number() OVER () AS i, t FROM (SELECT DISTINCT t FROM r)), cs AS (SELECT row_number() OVER () AS j, t FROM (SELECT DISTINCT t FROM c)),
+met AS (SELECT i, j, count(*) AS n FROM (SELECT i, unnest(t) AS w FROM rs) JOIN (SELECT j, unnest(t) AS w FROM cs) USING (w) GROUP BY i, j),
+ok AS (SELECT rs.t AS rt, cs.t AS ct FROM met JOIN rs USING (i) JOIN cs USING (j) WHERE n = len(rs.t) OR n = len(cs.t))
+SELECT DISTINCT record, concept FROM ok JOIN r ON r.t = rt JOIN c ON c.t = ct"""
+
+
 QUERIES = {
     "constraint_documents": (_constrained, "SELECT doc_id, source FROM (SELECT doc_id, source, lower(coalesce(text, '')) AS t, lower(coalesce(source, '')) AS s FROM documents) "
         "WHERE ((contains(t, 'the') OR contains(s, 'the') OR contains(t, 'der und') OR contains(s, 'der und') OR contains(t, 'que') OR contains(s, 'que')) AND (contains(t, 'en') OR contains(s, 'en')) AND NOT (contains(t, 'example') OR contains(s, 'example'))) OR contains(t, 'les des') OR contains(s, 'les des')"),
@@ -107,4 +134,5 @@ QUERIES = {
     "entity_table": (_entity("entities"), ENTITIES),
     "entity_conflicts": (_entity("conflicts"), CONFLICTS),
     "evidence_spans": (_spans, None),
+    "record_concepts": (_record_concepts, RECORD_CONCEPTS),
 }
