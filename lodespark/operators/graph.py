@@ -236,3 +236,23 @@ def strongest_out(edges: DataFrame, k: int) -> DataFrame:
     """(src, dst, weight, rank): of each source the k targets of greatest confidence, several edges to one counted once."""
     w = edges.groupBy("src", "dst").agg(F.max("confidence").alias("weight"))
     return w.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst"))).where(F.col("rank") <= k)
+
+
+#: Greatest weight of a contracted edge, and edges for each step of it.
+MOST_WEIGHT, STEP = 5, 3
+
+
+def contracted(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(source, target, relation, n, weight): the (a, b, relation) edges between (node, cluster) clusters, one for each unordered pair.
+
+    Edges of one direction and relation are counted; of a pair's counts the greatest stays, ties to the smallest source,
+    target and relation. Edges inside a cluster, with a null relation or with an end in none are left out; of several
+    clusters a node has the greatest. Counting needs no window, so a pair of hubs is added up before the shuffle.
+    """
+    of = clusters.where("node IS NOT NULL AND cluster IS NOT NULL").groupBy("node").agg(F.max("cluster").alias("cluster"))
+    rows = edges.select("a", "b", "relation").where("relation IS NOT NULL")
+    rows = rows.join(of.select(F.col("node").alias("a"), F.col("cluster").alias("source")), "a").join(of.select(F.col("node").alias("b"), F.col("cluster").alias("target")), "b")
+    counts = rows.where("source <> target").groupBy("source", "target", "relation").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct((-F.col("n")).alias("less"), "source", "target", "relation", "n")).alias("x")
+    kept = counts.groupBy(F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high")).agg(first)
+    return kept.select("x.source", "x.target", "x.relation", "x.n", F.least(F.lit(MOST_WEIGHT).cast("bigint"), 1 + F.floor(F.col("x.n") / STEP)).alias("weight"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodespark.functions import text as T
+from lodespark.operators import graph as G
 from lodespark.operators import literature as L
 from lodespark.sources import tables as S
 
@@ -30,6 +31,15 @@ def _reanalysis(spark, d):
     return L.reanalysis_candidates(done, similar, done.select("dataset", "method"))
 
 
+def _contracted(spark, d):
+    """Customers and suppliers as nodes of their nations, order lines as edges, a returned one against the others."""
+    lines, o = S.table(spark, d, "lineitem"), S.table(spark, d, "orders")
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edges = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(node("c", "o_custkey").alias("a"), node("s", "l_suppkey").alias("b"), F.when(F.col("l_returnflag") == "R", "contradicts").otherwise("supports").alias("relation"))
+    customers = S.table(spark, d, "customer").select(node("c", "c_custkey").alias("node"), F.col("c_nationkey").alias("cluster"))
+    return G.contracted(edges, customers.union(S.table(spark, d, "supplier").select(node("s", "s_suppkey"), "s_nationkey")))
+
+
 def _strongest(spark, d):
     """Strongest line between customer and supplier nations, whichever side is smaller."""
     lines = S.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_discount")
@@ -101,6 +111,13 @@ QUERIES = {
         s AS (SELECT x.n_nationkey AS dataset, y.n_nationkey AS other FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey <> y.n_nationkey)
         SELECT other AS dataset, method, round(max(confidence * 0.8::DOUBLE), 6) AS confidence FROM j JOIN s USING (dataset) WHERE NOT EXISTS (SELECT 1 FROM j k WHERE k.dataset = other AND k.method = j.method) GROUP BY ALL""",
     ),
+    "contracted_edges": (
+        _contracted,
+        """WITH k AS (SELECT c_nationkey AS source, s_nationkey AS target, CASE WHEN l_returnflag = 'R' THEN 'contradicts' ELSE 'supports' END AS relation, count(*) AS n
+                    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY n DESC, source, target, relation) AS k FROM k)
+        SELECT source, target, relation, n, least(5, 1 + n // 3) AS weight FROM r WHERE k = 1""",
+    ),
     "strongest_pair_edges": (
         _strongest,
         """WITH j AS (SELECT c_nationkey AS a, s_nationkey AS b, 1 - l_discount AS confidence, l_orderkey AS finding FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
