@@ -21,8 +21,11 @@ def ndcg(runs: DataFrame, judged: DataFrame | None, k: int, gain: str = "exp", d
     """NDCG at k by system and query.
 
     With ``judged`` the ideal order is that of all judgements of the query; without, that of the retrieved list itself
-    (a variant that flatters). Queries without gain score 0.
+    (a variant that flatters). Queries without gain score 0. Judgements may be counts (query_id, grade, n): of these at
+    most k of a grade are made rows.
     """
+    if judged is not None and "n" in judged.columns:
+        judged = judged.select("query_id", "grade", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int"))).alias("nth"))
     dcg = runs.where(F.col("rank") <= k).groupBy("system", "query_id").agg(F.sum(_gain(gain) / _discount(discount, F.col("rank"))).alias("dcg"))
     keys = ["query_id"] if judged is not None else ["system", "query_id"]
     best = Window.partitionBy(*keys).orderBy(F.col("grade").desc())
@@ -33,13 +36,14 @@ def ndcg(runs: DataFrame, judged: DataFrame | None, k: int, gain: str = "exp", d
 
 
 def binary_metrics(runs: DataFrame, judged: DataFrame, k: int, relevant: int = 2) -> DataFrame:
-    """Reciprocal rank, precision over the returned and over k, recall at k; a grade of ``relevant`` counts."""
+    """Reciprocal rank, precision over the returned and over k, recall at k; a grade of ``relevant`` counts. Judgements are rows or counts (query_id, grade, n)."""
     hit = (F.col("grade") >= relevant) & (F.col("rank") <= k)
     g = runs.groupBy("system", "query_id").agg(
         F.coalesce(1 / F.min(F.when(F.col("grade") >= relevant, F.col("rank"))), F.lit(0.0)).alias("rr"),
         F.count_if(hit).alias("hits"), F.count_if(F.col("rank") <= k).alias("returned"),
     )
-    total = judged.groupBy("query_id").agg(F.count_if(F.col("grade") >= relevant).alias("relevant"))
+    each = F.col("n") if "n" in judged.columns else F.lit(1)
+    total = judged.groupBy("query_id").agg(F.sum(F.when(F.col("grade") >= relevant, each).otherwise(0)).alias("relevant"))
     g = g.join(total, "query_id", "left")
     return g.select("system", "query_id", F.round("rr", 6).alias("rr"), F.round(F.col("hits") / F.col("returned"), 6).alias("precision_returned"), F.round(F.col("hits") / k, 6).alias("precision_k"), F.round(F.when(F.col("relevant") > 0, F.col("hits") / F.col("relevant")).otherwise(F.lit(0.0)), 6).alias("recall"))
 

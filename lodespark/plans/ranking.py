@@ -115,7 +115,7 @@ QUERIES = {
     "fusion_explain": (lambda s, d: U.explain(S.runs(s, d)), f"{W} SELECT query_id, doc_id, system, round(1 / (60 + rank), 6) AS part FROM runs"),
     "component_mean": (lambda s, d: U.component_mean(S.runs(s, d), WEIGHTS), f"{W} SELECT query_id, doc_id, round(sum({WEIGHT} * score) / sum({WEIGHT}), 9) AS score, least(count(DISTINCT system) / 4, 1) AS confidence FROM runs GROUP BY ALL"),
     "latent_hybrid": (
-        lambda s, d: U.hybrid(S.runs(s, d).where("system = 'cos'").select("query_id", "doc_id", "score"), S.runs(s, d).where("system = 'head'").select("query_id", "doc_id", "score"), 0.3, top=20),
+        lambda s, d: U.hybrid(S.runs(s, d, systems=("cos",)).select("query_id", "doc_id", "score"), S.runs(s, d, systems=("head",)).select("query_id", "doc_id", "score"), 0.3, top=20),
         f"{W}, s AS (SELECT query_id, doc_id, round(0.7::DOUBLE * coalesce(sum(score) FILTER (system = 'cos'), 0) + 0.3::DOUBLE * coalesce(sum(score) FILTER (system = 'head'), 0), 9) AS score FROM runs GROUP BY ALL) {TOP}",
     ),
     "pooled_candidates": (lambda s, d: U.pooled(S.runs(s, d), 20), f"{W} SELECT query_id, doc_id, count(DISTINCT system) AS n_systems, string_agg(DISTINCT system, ',' ORDER BY system) AS systems, min(rank) AS best_rank, max(score) AS best_score FROM runs WHERE rank <= 20 GROUP BY ALL"),

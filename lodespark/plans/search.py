@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodespark.functions import sets as A, text as T, vectors as V
-from lodespark.operators import fusion as U, retrieval as R
+from lodespark.operators import fusion as U, nearest as N, retrieval as R
 from lodespark.sources import tables as S
 
 #: A document's fields and their weights: its body, and its source as a short field.
@@ -108,13 +108,14 @@ def _fingerprints(spark, d):
 
 def _prf(spark, d):
     """Pseudo-relevance feedback: the normalised mean of the top five of ``head`` asks again; dot product, ties by id descending."""
-    first = R.top_k(S.search_pairs(spark, d).select("query_id", "doc_id", F.col("head").alias("score")), 5)
+    first = S.runs(spark, d, 5, ("head",)).select("query_id", "doc_id")
     v = S.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     parts = first.join(v, F.col("doc_id") == F.col("vec_id")).select("query_id", F.posexplode("e").alias("pos", "x"))
     mean = parts.groupBy("query_id", "pos").agg(F.avg("x").alias("x")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("m"))
     mean = mean.withColumn("n", V.norm(F.col("m"))).where("n > 0")
-    scores = v.join(mean, F.size("e") == F.size("m")).select("query_id", F.col("vec_id").alias("doc_id"), F.round(V.dot(F.col("e"), F.col("m")) / F.col("n"), 9).alias("score"))
-    return R.top_k(scores, 10, descending_ids=True)
+    none = F.lit(None).cast("bigint").alias("label")
+    found = N.nearest(v.select(F.col("vec_id").alias("id"), "e", none), mean.select(F.col("query_id").alias("id"), F.col("m").alias("e"), none), 10, {"prf": None}, "projection", others=False, descending_ids=True)
+    return N.top_ranked(found, 10, descending_ids=True).select("query_id", "doc_id", "score", "rank")
 
 
 def _pooling(spark, d):
@@ -168,7 +169,7 @@ QUERIES = {
         SELECT item_id, doc_id, substr(text, greatest(1, pos - 48), pos + len(phrase) + 72 - greatest(1, pos - 48)) AS snippet FROM h""",
     ),
     "passage_containment": (_containment, "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
-    "cosine_topk": (lambda s, d: R.top_k(S.search_pairs(s, d).select("query_id", "doc_id", F.col("cos").alias("score")), 10), f"WITH {S.RUNS} SELECT query_id, doc_id, score, rank FROM runs WHERE system = 'cos' AND rank <= 10"),
+    "cosine_topk": (lambda s, d: S.runs(s, d, 10, ("cos",)).select("query_id", "doc_id", "score", "rank"), f"WITH {S.RUNS} SELECT query_id, doc_id, score, rank FROM runs WHERE system = 'cos' AND rank <= 10"),
     "typed_knn": (_fingerprints, f"WITH {S.SEARCH_PAIRS}, s AS (SELECT query_id, doc_id, cos AS score FROM search_pairs WHERE grade = 3 AND cos >= 0.2) {TOP.replace('<= 10', '<= 5')}"),
     "dense_prf": (
         _prf,
