@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodespark.functions import sums as X
+
 
 def _gain(kind: str) -> Column:
     return F.pow(F.lit(2.0), F.col("grade")) - 1 if kind == "exp" else F.col("grade").cast("double")
@@ -151,10 +153,10 @@ def vote_ensemble(votes: DataFrame) -> DataFrame:
     """(item, label, confidence, n_votes, silver) of (item, vote, confidence, hard_negative) rows.
 
     A hard-negative vote decides: 0 at 0.95. Else the confidence-weighted mean, rounded half to even, kept in 0..3;
-    silver needs three votes, confidence 0.75 and a variance below 0.5.
+    silver needs three votes, confidence 0.75 and a variance below 0.5. Sums do not depend on the order of the votes.
     """
-    mean = F.sum(F.col("vote") * F.col("confidence")) / F.sum("confidence")
-    g = votes.groupBy("item").agg(F.max("hard_negative").alias("veto"), mean.alias("mean"), F.avg("confidence").alias("conf"), F.var_pop("vote").alias("variance"), F.count("vote").alias("n_votes"))
+    mean = X.ratio(X.total(F.col("vote") * F.col("confidence")), X.total(F.col("confidence")))
+    g = votes.groupBy("item").agg(F.max("hard_negative").alias("veto"), mean.alias("mean"), X.mean(F.col("confidence")).alias("conf"), F.var_pop("vote").alias("variance"), F.count("vote").alias("n_votes"))
     label = F.when(F.col("veto"), F.lit(0)).otherwise(F.least(F.lit(3), F.greatest(F.lit(0), F.bround("mean").cast("int"))))
     conf = F.when(F.col("veto"), F.lit(0.95)).otherwise(F.col("conf"))
     silver = ~F.col("veto") & (F.col("n_votes") >= 3) & (F.col("conf") >= 0.75) & (F.col("variance") < 0.5)
