@@ -45,3 +45,37 @@ def test_signal_links_score_equal_datasets_once(spark):
     want = L.signal_links(direct.unionByName(met), 0.58).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == 8002
     assert most <= len(want)  # 14,000 signals of pairs are not made
+
+
+def test_pairs_are_not_rows_before_they_are_wanted(spark):
+    """Best partners of a few records among many with shared values, nulls and empty sets, held against a plain loop."""
+    from lodespark.operators import catalog as C, pairing as P
+
+    def record(k):
+        tasks = None if k == 7 else ["a", "b", "c", None][: k % 5] if k % 11 else ["c", "c", "a"]
+        return (k, [None, "x", "y"][k % 3], tasks, ["m"], None if k == 9 else [str(k % 4)] if k % 6 else [], [f"r{j}" for j in range(k % 7)], [], [f"v{k % 13}"])
+
+    data = [record(k) for k in range(900)]
+    names = ("tasks", "modalities", "species", "regions", "events", "affordances")
+    df = spark.createDataFrame(data, "id long, source string, " + ", ".join(f"{c} array<string>" for c in names))
+    got, most = most_rows(C.best_per_kind(C.pair_type(P.pair_features(df.where("id % 30 = 0"), df, least=0.3, best=2)), 2, 0.3))
+    assert most < 5_000  # of 27,000 pairs
+
+    def features(x, y):
+        s, t = dict(zip(names, x[2:], strict=True)), dict(zip(names, y[2:], strict=True))
+        meeting = [n for n in names if n != "species"]
+        if any(u[n] is None for u in (s, t) for n in meeting) or not any((set(s[n]) & set(t[n])) - {None} for n in meeting):
+            return None
+        jac = lambda n: len(set(s[n]) & set(t[n])) / len(set(s[n]) | set(t[n])) if s[n] is not None and t[n] is not None and set(s[n]) | set(t[n]) else 0.0
+        low = min(len(set(s["regions"])), len(set(t["regions"])))
+        region = len(set(s["regions"]) & set(t["regions"])) / low if low else 0.0
+        clash = bool(s["species"]) and bool(t["species"]) and not set(s["species"]) & set(t["species"])
+        far = x[1] is not None and y[1] is not None and x[1] != y[1]
+        return jac("tasks"), jac("modalities"), jac("species"), region, jac("events"), jac("affordances"), far, clash
+
+    rows = [(x[0], y[0], *f) for x in data if x[0] % 30 == 0 for y in data if x[0] != y[0] and (f := features(x, y))]
+    plain = spark.createDataFrame(rows, "a long, b long, task double, modality double, species double, region double, event double, affordance double, far boolean, clash boolean")
+    want = C.best_per_kind(C.pair_type(plain), 2, 0.3).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 60
+    kept = P.pair_features(df.where("id % 30 = 0"), df, ordered=True).count()
+    assert kept == sum(r[0] < r[1] for r in rows)
