@@ -54,3 +54,27 @@ def test_no_pair_is_made_for_runs(spark, odd):
     v = S._vectors(spark, odd)
     found = N.nearest(v, v.where("id % 100 = 0"), 5, {"cos": None})
     assert found.count() < 0.3 * v.count() * v.where("id % 100 = 0").count()
+
+
+def test_few_pairs_are_summed(monkeypatch):
+    """Products of matrices leave a few pairs of each query whose score is added up in order."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 32))
+    table = pa.table({"id": np.arange(4000), "e": pa.array(list(x)), "label": np.zeros(4000, np.int64), "n0": np.sqrt((x * x).sum(1))})
+    pack = lambda t, p, most: [{p + k: v for k, v in row.items()} for b in N._packer(1, most)(iter(t.to_batches())) for row in b.to_pylist()]
+    pairs = [v | q for v in pack(table, "v_", 2048) for q in pack(table.slice(0, 40), "q_", 256)]
+    scored = []
+
+    def score(total, *rest):
+        scored.append(total.size)
+        return N._cosine(total, *rest)
+
+    got = [r for b in N._searcher([None], 5, score, True, False)(iter([pa.RecordBatch.from_pylist(pairs)])) for r in b.to_pylist()]
+    assert sum(scored) < 0.02 * 4000 * 40
+    cos = (x @ x[:40].T) / np.outer(np.sqrt((x * x).sum(1)), np.sqrt((x * x).sum(1))[:40])
+    for k in range(40):
+        mine = sorted((r for r in got if r["query_id"] == k), key=lambda r: -r["score"])[:5]
+        assert [r["doc_id"] for r in mine] == [d for d in np.argsort(-cos[:, k]) if d != k][:5]
