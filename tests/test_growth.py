@@ -79,3 +79,16 @@ def test_pairs_are_not_rows_before_they_are_wanted(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 60
     kept = P.pair_features(df.where("id % 30 = 0"), df, ordered=True).count()
     assert kept == sum(r[0] < r[1] for r in rows)
+
+
+def test_metapath_merges_from_the_smaller_end(spark):
+    """Many starts, many nodes on the way and two targets: no row for a start and a node before the last."""
+    from lodespark.operators import graph as G
+
+    e = spark.sql("""SELECT concat('c', a.id) src, concat('p', b.id) dst, 'uses' etype, 0.9D confidence FROM range(200) a, range(10) b UNION ALL
+        SELECT concat('p', a.id), concat('s', b.id), 'by', 0.8D + b.id / 1000 FROM range(10) a, range(100) b UNION ALL SELECT concat('s', id), concat('n', id % 2), 'in', 0.5D FROM range(100)""")
+    steps = [("uses", True), ("by", True), ("in", True)]
+    got, most = most_rows(G.metapath(e, steps, 0.1, 0.8, backward=True))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, G.metapath(e, steps, 0.1, 0.8).collect())) and len(got) == 400
+    assert most <= 4_000  # 200,000 when starts meet all nodes on the way
+    assert G.metapath(e, steps, 0.5, backward=True).collect() == []
