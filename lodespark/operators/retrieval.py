@@ -52,7 +52,11 @@ def field_lengths(docs: DataFrame, fields: dict[str, Column], bigrams: bool = Tr
 
 def idf_table(index: DataFrame, n_docs: DataFrame, max_share: float = 0.95) -> DataFrame:
     """(term, df, idf): ln((N - df + 0.5) / (df + 0.5) + 1), 0 for terms in more than ``max_share`` of documents."""
-    df = index.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
+    return idf_of(index.groupBy("term").agg(F.countDistinct("doc_id").alias("df")), n_docs, max_share)
+
+
+def idf_of(df: DataFrame, n_docs: DataFrame, max_share: float = 0.95) -> DataFrame:
+    """``idf_table`` of document frequencies (term, df)."""
     idf = F.greatest(F.lit(0.0), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     return df.crossJoin(n_docs).select("term", "df", F.when(F.col("df") / F.col("n") > max_share, F.lit(0.0)).otherwise(idf).alias("idf"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodespark.functions import sets as A, text as T, vectors as V
-from lodespark.operators import fusion as U, nearest as N, retrieval as R
+from lodespark.operators import fusion as U, lexical as X, nearest as N, retrieval as R
 from lodespark.sources import tables as S
 
 #: A document's fields and their weights: its body, and its source as a short field.
@@ -33,21 +33,20 @@ def _n(spark, d):
     return _docs(spark, d).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _parts(spark, d):
-    """Postings of the queries' terms, their idf, the fields' lengths and the queries."""
-    docs, queries = _docs(spark, d), _queries(spark, d)
-    index = R.postings(docs, _fields(), only=queries)
-    return index, R.idf_table(index, _n(spark, d)), R.field_lengths(docs, _fields()), queries
+def _lexical(spark, d):
+    return X.Lexical(_docs(spark, d), _fields(), _queries(spark, d))
 
 
 def _bm25(spark, d, k=10, descending_ids=False):
-    return R.bm25(*_parts(spark, d), WEIGHTS, k, descending_ids)
+    return _lexical(spark, d).bm25(WEIGHTS, k, descending_ids)
 
 
 def _explain(spark, d):
     """Parts of the best document of each query."""
-    best = R.bm25(*_parts(spark, d), WEIGHTS, 1).select("query_id", "doc_id")
-    parts = R.bm25_parts(*_parts(spark, d), WEIGHTS).join(best, ["query_id", "doc_id"])
+    own = _lexical(spark, d)
+    best = own.bm25(WEIGHTS, 1).select("query_id", "doc_id")
+    index = own.index(own.counts.join(best.select("doc_id").distinct(), "doc_id", "left_semi"))
+    parts = R.bm25_parts(index, own.idf(), own.lengths(), own.queries, WEIGHTS).join(best, ["query_id", "doc_id"])
     return parts.select("query_id", "doc_id", "field", "term", F.round("part", 4).alias("part"))
 
 
