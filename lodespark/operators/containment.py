@@ -1,7 +1,7 @@
 """Concepts of records: token sets of terms that contain each other, and slugs of fields.
 
-Containment is an equi-join in both directions on the contained set's rarest token, over distinct token sets; records and
-concepts are joined back afterwards.
+Containment is an equi-join in both directions on one token of the contained set. Concepts go to the records unless
+there are very many token sets of theirs, so records' token sets are not shuffled; only their matches are.
 """
 
 from __future__ import annotations
@@ -9,23 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Token sets of concepts that are sent to every task.
+SENT = 200_000
+
+
 def token_set(term: Column) -> Column:
     """The sorted distinct words of a term in lower case, underscores and hyphens as spaces; empty for a null term or one without words."""
     words = F.split(F.translate(F.lower(F.coalesce(term, F.lit(""))), "_-", "  "), r"(?U)\s+")
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 
-def _contained(small: DataFrame, large: DataFrame) -> DataFrame:
-    """(small, large) of distinct token sets (tokens): the first is a subset of the second."""
-    words = large.select(F.col("tokens").alias("large"), F.explode("tokens").alias("word"))
-    count = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    asked = small.select(F.col("tokens").alias("small"), F.explode("tokens").alias("word")).join(count, "word")
-    # a set with a word that no large set has is in none; of the others the rarest word is the key
-    keys = asked.groupBy("small").agg(F.min(F.struct("n", "word")).alias("least"), F.count(F.lit(1)).alias("found"))
-    keys = keys.where(F.col("found") == F.size("small")).select("small", F.col("least.word").alias("word"))
-    return keys.join(words, "word").where(F.size(F.array_except("small", "large")) == 0).select("small", "large")
-
-
 def contained_concepts(records: DataFrame, concepts: DataFrame) -> DataFrame:
     """Distinct (record, concept) of (record, term) and (concept, term) rows.
 
@@ -33,13 +26,20 @@ def contained_concepts(records: DataFrame, concepts: DataFrame) -> DataFrame:
     round; equal terms do both. Terms without words, null ones too, match nothing, nor do rows without a record or concept.
     Other columns are not read; an empty table matches nothing.
     """
-    r = records.where("record IS NOT NULL").select("record", token_set(F.col("term")).alias("tokens")).where(F.size("tokens") > 0).distinct()
-    c = concepts.where("concept IS NOT NULL").select("concept", token_set(F.col("term")).alias("tokens")).where(F.size("tokens") > 0).distinct()
-    rs, cs = r.select("tokens").distinct(), c.select("tokens").distinct()
-    below = _contained(cs, rs).toDF("of_concept", "of_record")
-    above = _contained(rs, cs).select(F.col("large").alias("of_concept"), F.col("small").alias("of_record"))
-    met = below.union(above).distinct().join(c.withColumnRenamed("tokens", "of_concept"), "of_concept").select("of_record", "concept").distinct()
-    return r.withColumnRenamed("tokens", "of_record").join(met, "of_record").select("record", "concept").distinct()
+    r = records.where("record IS NOT NULL").select("record", token_set(F.col("term")).alias("tokens")).where(F.size("tokens") > 0)
+    c = concepts.where("concept IS NOT NULL").select("concept", token_set(F.col("term")).alias("of_concept")).where(F.size("of_concept") > 0)
+    c = c.groupBy("of_concept").agg(F.collect_set("concept").alias("concepts"))
+    to_all = F.broadcast if c.limit(SENT + 1).count() <= SENT else lambda t: t
+    words = c.select("of_concept", "concepts", F.explode("of_concept").alias("word"))
+    # a set with a word that no record has is in none; of the others the rarest word is the key
+    count = r.select(F.explode("tokens").alias("word")).join(to_all(words.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    keys = words.join(count, "word").groupBy("of_concept").agg(F.first("concepts").alias("concepts"), F.min(F.struct("n", "word")).alias("least"), F.count(F.lit(1)).alias("found"))
+    keys = keys.where(F.col("found") == F.size("of_concept")).select("of_concept", "concepts", F.col("least.word").alias("word"))
+    below = r.select("record", "tokens", F.explode("tokens").alias("word")).join(to_all(keys), "word").where(F.size(F.array_except("of_concept", "tokens")) == 0)
+    # every word of a record's set is in the sets around it: the longest, as a rule a rare one, is its key
+    longest = F.array_max(F.transform("tokens", lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    above = r.select("record", "tokens", longest.alias("word")).join(to_all(words), "word").where(F.size(F.array_except("tokens", "of_concept")) == 0)
+    return below.select("record", "concepts").union(above.select("record", "concepts")).select("record", F.explode("concepts").alias("concept")).distinct()
 
 
 def field_slugs(records: DataFrame, prefixes: dict[str, str]) -> DataFrame:

@@ -48,3 +48,18 @@ def test_index_of_fields_and_concepts(spark):
     concepts = spark.createDataFrame([("k1", "campus", 1), ("k2", "old mouse", 1), ("k3", "rat", 1)], CONCEPT)
     got = {tuple(x) for x in C.concept_index(df, concepts, {"regions": "region", "species": "species"}).collect()}
     assert got == {("a", "k1"), ("a", "k2"), ("b", "k2"), ("a", "region:hippo_campus_ca1"), ("a", "species:mouse"), ("b", "species:mouse")}
+
+
+def test_records_are_not_shuffled(spark, monkeypatch):
+    """Only words' counts and matches pass an exchange, never a record's token set; with very many concepts the joins are plain and agree."""
+    rnd = random.Random(9)
+    term = lambda most: " ".join(rnd.choices(["alpha", "beta", "gamma", "delta", "x1", "hot"], k=rnd.randint(1, most)))
+    records, concepts = [(f"r{k % 30}", term(5), "") for k in range(80)], [(f"c{k % 10}", term(3), 1) for k in range(20)]
+    r, c = spark.createDataFrame(records, RECORD), spark.createDataFrame(concepts, CONCEPT)
+    got = C.contained_concepts(r, c)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 3 and {tuple(x) for x in got.collect()} == wanted(records, concepts)
+    monkeypatch.setattr(C, "SENT", 0)
+    plain = C.contained_concepts(r, c)
+    assert "strategy=broadcast" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(x) for x in plain.collect()} == wanted(records, concepts)
