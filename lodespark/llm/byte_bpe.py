@@ -88,15 +88,16 @@ class Vocabulary:
 
     def code(self, data: bytes) -> list[int]:
         """Ids of bytes that nothing will be appended to: the last tokens of all prefixes, in one loop."""
-        last, seams = [-1], self.seams
+        last, seams, want = [-1], self.seams, 0
         for at, (token, n) in self.matches.iter(data.decode("latin-1")):
-            if at + 1 != len(last):  # this prefix has its token, or one before it has none
+            if at != want:  # this prefix has its token, or one before it has none
                 continue
             if n <= at:
                 key = (last[at + 1 - n], token)
                 if not (self.seam(*key) if (apart := seams.get(key)) is None else apart):
                     continue
             last.append(token)
+            want += 1
         if len(last) <= len(data):
             raise ValueError("the vocabulary lacks a byte")
         out, end, size = [], len(data), self.size
@@ -177,7 +178,7 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # by what follows a single space
         self.old: dict[str, dict[str, bytes]] = {"kept": {}, "spaced": {}}
-        self.bytes_of = [self.v.tokens.get(i, b"") for i in range(max(self.v.tokens) + 1)]
+        self.bytes_of = pa.array([self.v.tokens.get(i, b"") for i in range(max(self.v.tokens) + 1)], pa.large_binary())
 
     def word(self, word: str) -> bytes:
         data = word.encode("utf-8", "surrogatepass")
@@ -224,8 +225,10 @@ class Encoder:
         return self.run(first) + b"".join(parts)
 
     def decode(self, ids: bytes) -> bytes:
-        table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        if not ids:
+            return b""
+        _, ends, data = self.bytes_of.take(pa.array(np.frombuffer(ids, "<u4"))).buffers()
+        return data.slice(0, int(np.frombuffer(ends, np.int64)[len(ids) // 4])).to_pybytes()
 
 
 @lru_cache(maxsize=2)
