@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from lodespark.llm.common import slices
 
 #: Words and seams that a worker keeps; a full table becomes the old one, from which words still in use return.
-KEPT_WORDS, KEPT_SEAMS = 100_000, 250_000
+KEPT_WORDS, KEPT_SEAMS = 300_000, 250_000
 #: Bytes of texts that are encoded together.
 TEXTS = 1 << 20
 
