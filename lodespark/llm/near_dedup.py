@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodespark.llm.common import cut, keyed, slices
+from lodespark.llm.common import keyed, slices, written
 from lodespark.operators.components import connected_components
 
 #: Minima, minima of a band, bits kept of each minimum. At similarity 0.8 a pair misses every band once in 10^7.
@@ -206,23 +206,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows, own = _rows(docs, id_col, text_col)
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 60
-    base = cut(sketches(rows, width, least))
+    base = written(sketches(rows, width, least), "sketches")
     known = base.where("n > 0")
     groups = known.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
     reps = known.where("bands IS NOT NULL").select("id", "set_a", "set_b", "bits", "bands").join(groups, ["set_a", "set_b"]).where("id = rep")
-    reps = cut(reps.select("rep", "bits", "bands").dropDuplicates(["rep", "bands"]))
+    reps = written(reps.select("rep", "bits", "bands").dropDuplicates(["rep", "bands"]), "set-bands")
     members = reps.select("rep", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
-    members = cut(_headed(members.join(buckets.select("band"), "band")))
+    members = written(_headed(members.join(buckets.select("band"), "band")), "bucket-members")
     bits = reps.select("rep", "bits")
     enough = enough_equal(percent / 100)
     stars = members.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = _likely(stars, bits, enough)
     wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = cut(full_sets(rows.join(wanted, "id", "left_semi"), width))
-    links = cut(confirmed(pairs, sets, percent))
+    sets = written(full_sets(rows.join(wanted, "id", "left_semi"), width), "full-sets")
+    links = written(confirmed(pairs, sets, percent), "links")
     found = connected_components(links, "a", "b")
-    more = cut(confirmed(_likely(_strays(members, found, sets, percent), bits, enough), sets, percent))
+    more = written(confirmed(_likely(_strays(members, found, sets, percent), bits, enough), sets, percent), "more-links")
     if not more.isEmpty():
         found = connected_components(links.union(more), "a", "b")
     # every set's component, then every document's
@@ -264,7 +264,7 @@ def _strays(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     labels = found.select(F.col("node").alias("rep"), "component")
     rows = members.select("band", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_bands = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    open_reps = cut(rows.join(open_bands, "band", "left_semi").select("rep", "component").distinct())
+    open_reps = written(rows.join(open_bands, "band", "left_semi").select("rep", "component").distinct(), "open-sets")
     shingles = _shingles(sets.join(open_reps.select(F.col("rep").alias("id")), "id", "left_semi"))
     common = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # shingles of one set alone come first in its order and meet nothing: their number is enough
@@ -273,7 +273,7 @@ def _strays(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     first = ranked.where(take > 0).select("rep", "n", alone.alias("alone"), F.slice("order", 1, take.cast("int")).alias("order"))
     first = first.select("rep", "n", "alone", F.posexplode("order").alias("at", "s")).select("rep", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("s.hash").alias("hash"))
-    first = cut(first.join(open_reps, "rep"))
+    first = written(first.join(open_reps, "rep"), "rarest-shingles")
     kinds = first.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("hash").agg(F.max_by("component", F.struct("k", "component")).alias("home"), F.count(F.lit(1)).alias("kinds"))
     first = first.join(kinds.where("kinds > 1").select("hash", "home"), "hash")
     left = first.where("component != home").select("hash", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("component").alias("cx"))
