@@ -1,8 +1,8 @@
-"""Sums and means of doubles that do not depend on the order of rows."""
+"""Sums and means of doubles: exact ones that do not depend on the order of rows, and those of doubles in a given order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def total(x: Column) -> Column:
@@ -18,3 +18,14 @@ def ratio(x: Column, y: Column) -> Column:
 
 def mean(x: Column) -> Column:
     return ratio(total(x), F.count(x))
+
+
+def place() -> Column:
+    """Where a row stands in its table's files: the order in which a single reader adds the rows up."""
+    return F.struct("_metadata.file_path", "_metadata.row_index")
+
+
+def running(rows: DataFrame, by: str, columns: dict[str, Column]) -> DataFrame:
+    """Adds each column's sum of doubles within ``by`` up to the row's ``place``; the last row's is the sum in that order."""
+    upto = Window.partitionBy(by).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumns({name: F.sum(x).over(upto) for name, x in columns.items()})

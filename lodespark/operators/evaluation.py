@@ -153,10 +153,16 @@ def vote_ensemble(votes: DataFrame) -> DataFrame:
     """(item, label, confidence, n_votes, silver) of (item, vote, confidence, hard_negative) rows.
 
     A hard-negative vote decides: 0 at 0.95. Else the confidence-weighted mean, rounded half to even, kept in 0..3;
-    silver needs three votes, confidence 0.75 and a variance below 0.5. Sums do not depend on the order of the votes.
+    silver needs three votes, confidence 0.75 and a variance below 0.5. Sums do not depend on the order of the votes,
+    unless these have a ``place``: then doubles are added up in its order, as SQL over the table adds them.
     """
-    mean = X.ratio(X.total(F.col("vote") * F.col("confidence")), X.total(F.col("confidence")))
-    g = votes.groupBy("item").agg(F.max("hard_negative").alias("veto"), mean.alias("mean"), X.mean(F.col("confidence")).alias("conf"), F.var_pop("vote").alias("variance"), F.count("vote").alias("n_votes"))
+    weighted, weight = F.col("vote") * F.col("confidence"), F.col("confidence")
+    if "place" in votes.columns:
+        votes = X.running(votes, "item", {"weighted": weighted, "weight": weight})
+        mean, conf = F.try_divide(F.max_by("weighted", "place"), F.max_by("weight", "place")), F.try_divide(F.max_by("weight", "place"), F.count("confidence"))
+    else:
+        mean, conf = X.ratio(X.total(weighted), X.total(weight)), X.mean(weight)
+    g = votes.groupBy("item").agg(F.max("hard_negative").alias("veto"), mean.alias("mean"), conf.alias("conf"), F.var_pop("vote").alias("variance"), F.count("vote").alias("n_votes"))
     label = F.when(F.col("veto"), F.lit(0)).otherwise(F.least(F.lit(3), F.greatest(F.lit(0), F.bround("mean").cast("int"))))
     conf = F.when(F.col("veto"), F.lit(0.95)).otherwise(F.col("conf"))
     silver = ~F.col("veto") & (F.col("n_votes") >= 3) & (F.col("conf") >= 0.75) & (F.col("variance") < 0.5)

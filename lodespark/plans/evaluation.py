@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodespark.functions import sums as X
 from lodespark.operators import evaluation as E
 from lodespark.sources import tables as S
 
@@ -63,7 +64,7 @@ def _kappa(spark, d):
 
 def _votes(spark, d):
     """Votes on parts: each line rates its part."""
-    return S.table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), (F.col("l_linenumber") % 4).alias("vote"), (1 - F.col("l_discount") * 5).alias("confidence"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49)).alias("hard_negative"))
+    return S.table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), (F.col("l_linenumber") % 4).alias("vote"), (1 - F.col("l_discount") * 5).alias("confidence"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49)).alias("hard_negative"), X.place().alias("place"))
 
 
 QUERIES = {

@@ -2,7 +2,11 @@
 
 import itertools
 
+from pyspark.sql import functions as F
+
+from lodespark.functions import sums as X
 from lodespark.operators import evaluation as E, linking as L
+from lodespark.plans import registry
 
 
 def test_ties_of_decimals_are_ties_in_any_order(spark):
@@ -18,3 +22,25 @@ def test_half_places_round_up(spark):
     rows = [(k, 0, c, False) for k in range(5) for c in [0.6] * 10 + [0.7] * 19 + [0.85] * 3]  # 21.85 / 32 = 0.6828125
     df = spark.createDataFrame(rows, "item int, vote int, confidence double, hard_negative boolean")
     assert {r.confidence for r in E.vote_ensemble(df).collect()} == {0.682813}
+
+
+def test_placed_votes_are_added_in_their_order(spark):
+    rows = [(k, 0, c, False, i) for k in range(5) for i, c in enumerate([0.1] * 10 + [0.7] * 3)]
+    want = 0.0
+    for _, _, c, _, _ in rows[:13]:
+        want += c
+    assert want != 3.1  # the exact sum
+    df = spark.createDataFrame(rows[::-1], "pair int, vote int, confidence double, hard boolean, place int").repartition(4)
+    running = X.running(df, "pair", {"upto": F.col("confidence")})
+    assert {r.upto for r in running.where("place = 12").collect()} == {want}
+
+
+def test_votes_of_a_table_equal_its_sql_at_half_places(spark, duck, tmp_path):
+    # 21.85 / 32 = 0.6828125, but a little less when doubles are added up in this order
+    rows = [(7, n % 4 + 4, (1 - c) / 5, "N", 1.0, 0.0) for n, c in enumerate([0.6] * 10 + [0.7] * 19 + [0.85] * 3)]
+    names = "l_partkey bigint, l_linenumber int, l_discount double, l_returnflag string, l_quantity double, l_tax double"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    duck = duck.cursor()
+    duck.execute(f"CREATE TEMP VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    query, sql = registry()["vote_ensemble"]
+    assert [tuple(r) for r in query(spark, str(tmp_path)).collect()] == duck.execute(sql).fetchall()
