@@ -103,3 +103,20 @@ def test_sets_without_required_kinds(spark):
     members = spark.createDataFrame([(1, "a", 0.5, ["x"], ["t"])], "set_id int, item string, usefulness double, kinds array<string>, traits array<string>")
     (row,) = C.set_scores(members, [], ["y"]).collect()
     assert (row.coverage, row.score) == (0.0, 0.7)
+
+
+def test_best_partners_compares_whole_sets(spark, tmp_path):
+    """Two customers that share only the last of their four brands."""
+    from lodespark.plans import registry
+
+    def put(name, columns, rows):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    brands = {100: "abcy", 101: "defy"}
+    put("customer", "c_custkey long, c_name string, c_mktsegment string, c_nationkey int, c_acctbal double", [(c, str(c), "x", 1, 0.0) for c in brands])
+    put("orders", "o_orderkey long, o_custkey long", [(c, c) for c in brands])
+    put("part", "p_partkey long, p_brand string, p_type string", [(ord(b), b, "t") for b in "abcdefy"])
+    put("lineitem", "l_orderkey long, l_partkey long", [(c, ord(b)) for c, bs in brands.items() for b in bs])
+    got = registry()["best_partners"][0](spark, str(tmp_path)).collect()
+    want = 0.25 + 0.15 + 0.10 + 0.15 / 4 + 0.15 / 7 + 0.05  # task, modality, species, region 1 of 4, affordance 1 of 7
+    assert [(r.a, r.b, r.score, r["rank"]) for r in got] == [(100, 101, round(want, 6), 1)]
