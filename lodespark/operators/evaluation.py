@@ -6,6 +6,8 @@ aggregation by (system, query_id) over a window-ranked table; nothing is looped
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodespark.functions import sums as X
@@ -188,13 +190,16 @@ def degradation(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     return j.select("query_id", F.round(loss, 6).alias("loss")).withColumn("severity", F.when(F.col("loss") >= 0.3, "critical").when(F.col("loss") >= 0.15, "high").when(F.col("loss") >= 0.05, "medium").otherwise("low"))
 
 
-def bootstrap_means(metrics: DataFrame, column: str, resamples: int = 200, seed: str = "b") -> DataFrame:
+#: P(X <= k) of a Poisson variable X of mean 1, up to the last k at which a double of 53 random bits can pass it.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
+
+
+def bootstrap_means(metrics: DataFrame, column: str, resamples: int = 1000, seed: str = "b") -> DataFrame:
     """Percentile interval of the mean by system: Poisson weights from a hash of resample and query, so that no sample is drawn."""
     reps = metrics.select("system", "query_id", F.col(column).alias("x"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", "query_id"), F.lit(1 << 30)) / float(1 << 30)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts[1:]), F.when(u >= cuts[0], 1).otherwise(0))
-    means = reps.withColumn("w", weight).groupBy("system", "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
+    u = F.pmod(F.xxhash64(F.lit(seed), "rep", "query_id"), F.lit(1 << 53)) / float(1 << 53)
+    means = reps.withColumn("u", u).withColumn("w", F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda c: c <= F.col("u"))))
+    means = means.groupBy("system", "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
     return means.groupBy("system").agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
 
 

@@ -1,5 +1,6 @@
 """Micro-fixtures that can be checked by hand."""
 
+import inspect
 import json
 
 import numpy as np
@@ -153,3 +154,14 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     for k in range(2):  # a replay adds nothing
         feedback.ingest(feedback.read_events(spark, str(tmp_path / "in")), out, str(tmp_path / f"c{k}"), known).awaitTermination()
     assert spark.read.parquet(out).count() == events.count()
+
+
+def test_bootstrap_of_many_resamples_has_the_spread_of_the_mean(spark):
+    metrics = spark.range(400).selectExpr("'s' AS system", "id AS query_id", "double(id % 2) AS x")
+    low, high = evaluation.bootstrap_means(metrics, "x").select("low", "high").first()
+    assert abs(low - (0.5 - 1.96 * 0.025)) < 0.006 and abs(high - (0.5 + 1.96 * 0.025)) < 0.006
+    assert inspect.signature(evaluation.bootstrap_means).parameters["resamples"].default >= 1000  # as the reference has it
+
+
+def test_bootstrap_weights_go_as_far_as_poisson_does():
+    assert evaluation.POISSON[5] < 0.9995 and evaluation.POISSON[-2] < 1 and abs(evaluation.POISSON[-1] - 1) < 1e-15
