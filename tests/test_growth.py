@@ -92,3 +92,35 @@ def test_metapath_merges_from_the_smaller_end(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, G.metapath(e, steps, 0.1, 0.8).collect())) and len(got) == 400
     assert most <= 4_000  # 200,000 when starts meet all nodes on the way
     assert G.metapath(e, steps, 0.5, backward=True).collect() == []
+
+
+def test_equal_records_are_scored_once(spark):
+    """900 records of 30 classes: pairs of classes are scored, and give the pairs and best partners of the records."""
+    from lodespark.operators import catalog as C, pairing as P
+
+    def record(k):
+        c = k % 30
+        return (k, [None, "x", "y"][c % 3], ["a", "b", "c", None][: c % 5], ["m"], None if c == 9 else [str(c % 4)] if c % 6 else [], [f"r{j}" for j in range(c % 7)], [], [f"v{c % 13}"])
+
+    names = ("tasks", "modalities", "species", "regions", "events", "affordances")
+    df = spark.createDataFrame([record(k) for k in range(900)], "id long, source string, " + ", ".join(f"{c} array<string>" for c in names))
+    asked = df.where("id % 7 = 0")
+    classes = C.pair_type(P.class_features(asked, df, least=0.3))
+    assert classes.count() <= 30 * 30
+    rows = lambda t: sorted(map(tuple, t.where("score >= 0.3").select("a", "b", "kind", "score").collect()))
+    got = rows(P.members_met(classes))
+    assert got == rows(C.pair_type(P.pair_features(asked, df, least=0.3))) and len(got) > 40_000
+    best = lambda t: sorted(map(tuple, C.best_per_kind(t, 2, 0.3).collect()))
+    some = P.members_met(C.pair_type(P.class_features(asked, df, least=0.3, best=2)))
+    assert best(some) == best(C.pair_type(P.pair_features(asked, df, least=0.3, best=2))) and some.count() < len(got) / 2
+
+
+def test_members_of_a_class_come_in_parts(spark, monkeypatch):
+    from lodespark.operators import pairing as P
+
+    monkeypatch.setattr(P, "MEMBERS", 7)
+    names = ("tasks", "modalities", "species", "regions", "events", "affordances")
+    df = spark.range(50).selectExpr("id", "'x' AS source", *(f"array('{c}') AS {c}" for c in names))
+    rows = P.class_features(df.where("id % 2 = 0"), df)
+    assert rows.selectExpr("max(size(a))", "max(size(b))").first() == (7, 7)
+    assert {(r.a, r.b) for r in P.members_met(rows).collect()} == {(a, b) for a in range(0, 50, 2) for b in range(50) if a != b}
