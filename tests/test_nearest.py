@@ -78,3 +78,22 @@ def test_few_pairs_are_summed(monkeypatch):
     for k in range(40):
         mine = sorted((r for r in got if r["query_id"] == k), key=lambda r: -r["score"])[:5]
         assert [r["doc_id"] for r in mine] == [d for d in np.argsort(-cos[:, k]) if d != k][:5]
+
+
+def test_bonuses_rank_close_pairs_as_all_pairs(spark, odd, monkeypatch):
+    from lodespark.operators import catalog as C
+    from lodespark.plans import registry
+
+    for name, value in (("BLOCK", 100), ("TILE", 32), ("ROWS", 3), ("QUERIES", 4)):
+        monkeypatch.setattr(N, name, value)
+    pairs = S.search_pairs(spark, odd).select("query_id", "doc_id", F.col("cos").alias("score"), (F.col("grade") == 3).alias("has_papers"), (F.col("doc_id") % 3 == 0).alias("has_id"), F.col("head").alias("satisfaction"))
+    plain = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    assert plain(registry()["bonus_rerank"][0](spark, odd)) == plain(C.bonus_rerank(pairs, 10))
+
+
+def test_few_pairs_are_close(spark, tmp_path):
+    """Of 3000 vectors a few hundred of each query's are ranked after their bonuses, not all."""
+    rnd = random.Random(8)
+    rows = [(k, [rnd.gauss(0, 1) for _ in range(24)], k % 5) for k in range(3000)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert S.close_pairs(spark, str(tmp_path), 10, 0.12, 0.02).count() < 0.2 * 3000 * 30
