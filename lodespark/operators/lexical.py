@@ -1,4 +1,4 @@
-"""BM25 of many queries over whole documents, in arrays: no row for a word, nor for a query and a document that can't be among its best.
+"""BM25 and tf-idf of many queries over whole documents, in arrays: no row for a word, nor for a query and a document that can't be among its best.
 
 A document's words are counted where its text is read. Only terms that a query asks are kept, as numbers, one row for a
 document; sizes, document frequencies and scores come from that table. The queries' terms go to every task; a task adds
@@ -93,7 +93,7 @@ def counts(docs: DataFrame, fields: dict[str, Column], terms: list[str], bigrams
     return rows.mapInArrow(run, kind).groupBy("doc_id").agg(F.collect_list(F.struct("field", "len", "terms", "tfs")).alias("fields"))
 
 
-def _flat(batch: pa.RecordBatch, n_fields: int, n_terms: int) -> tuple[np.ndarray, ...]:
+def _flat(batch: pa.RecordBatch, n_fields: int, n_terms: int, lengths: bool = True) -> tuple[np.ndarray, ...]:
     """(document, field, len, term, tf) of every posting of a batch of ``counts``; those equal but for tf are one."""
     lists = batch.column("fields")
     of = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
@@ -101,6 +101,8 @@ def _flat(batch: pa.RecordBatch, n_fields: int, n_terms: int) -> tuple[np.ndarra
     row = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)
     doc, field, length = of[row], field.to_numpy(zero_copy_only=False)[row], length.to_numpy(zero_copy_only=False)[row]
     term, tf = terms.flatten().to_numpy(zero_copy_only=False), tfs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if not lengths:
+        length = np.zeros_like(length)
     if len(of) > n_fields * len(batch):  # rows that share an id
         order = np.lexsort((term, length, field, doc))
         doc, field, length, term, tf = (x[order] for x in (doc, field, length, term, tf))
@@ -115,7 +117,8 @@ class Lexical:
 
     def __init__(self, docs: DataFrame, fields: dict[str, Column], queries: DataFrame, bigrams: bool = True):
         self.names = list(fields)
-        self.queries = queries.select("query_id", "term").where("term IS NOT NULL").distinct()
+        self.words = queries.select("query_id", "term").where("term IS NOT NULL")  # with repeats
+        self.queries = self.words.distinct()
         self.terms = sorted(r["term"] for r in self.queries.select("term").distinct().toLocalIterator())
         self.counts = _cut(counts(docs, fields, self.terms, bigrams))
         self.n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -151,21 +154,36 @@ class Lexical:
 
     def bm25(self, weights: dict[str, float], k: int, descending_ids: bool = False) -> DataFrame:
         """(query_id, doc_id, score, rank): the best k documents of each query."""
+        mean = {r["field"]: r["avg_len"] for r in self.lengths().collect()}
+        weight = np.array([float(weights.get(f, 0.0)) for f in self.names])
+        avg = np.array([max(mean.get(f) or 1.0, 1.0) for f in self.names])
+
+        def value(field: np.ndarray, length: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+            return weight[field] * idf * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * length / avg[field]))
+
+        asked = self.queries.withColumn("times", F.lit(1).cast("bigint")).join(self.idf().where("idf > 0").select("term", "idf"), "term")
+        return self._best(asked, value, k, descending_ids).where("score > 0")
+
+    def tfidf(self, k: int) -> DataFrame:
+        """(query_id, doc_id, score, rank): the best k by the sum over query tokens, repeats kept, of (1 + ln tf) * idf, in one field."""
+        asked = self.words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(self.idf(1.0).select("term", "idf"), "term")
+        return self._best(asked, lambda field, length, tf, idf: (1 + np.log(tf)) * idf, k, lengths=False)
+
+    def _best(self, asked: DataFrame, value, k: int, descending_ids: bool = False, lengths: bool = True) -> DataFrame:
+        """The best k documents by the sum of their postings' values, for (query_id, term, times, idf) rows. Without ``lengths``, rows of one id are one document whatever their lengths."""
         spark, names, n_terms = self.queries.sparkSession, self.names, len(self.terms)
-        asked = self.queries.join(self.idf().where("idf > 0").select("term", "idf"), "term").toArrow()
+        asked = asked.toArrow()
         number = pc.index_in(asked.column("term").combine_chunks(), pa.array(self.terms, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
         ids = pc.unique(asked.column("query_id").combine_chunks())
         query = pc.index_in(asked.column("query_id").combine_chunks(), ids).to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(number, kind="stable")
         idf = np.zeros(n_terms)
         idf[number] = asked.column("idf").to_numpy()
-        mean = {r["field"]: r["avg_len"] for r in self.lengths().collect()}
-        shared = spark.sparkContext.broadcast((ids, query[order], np.searchsorted(number[order], np.arange(n_terms + 1)), idf))
-        weight = np.array([float(weights.get(f, 0.0)) for f in names])
-        avg = np.array([max(mean.get(f) or 1.0, 1.0) for f in names])
+        times = asked.column("times").to_numpy()
+        shared = spark.sparkContext.broadcast((ids, query[order], times[order], np.searchsorted(number[order], np.arange(n_terms + 1)), idf))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, query, start, idf = shared.value
+            ids, query, times, start, idf = shared.value
             n = len(ids)
             floor = np.zeros(n)
             most = max(1, CELLS // max(n, 1))
@@ -173,15 +191,16 @@ class Lexical:
                 for first in range(0, len(batch) if n else 0, most):
                     part = batch.slice(first, most)
                     doc_ids = part.column("doc_id").fill_null(_LEAST).to_numpy(zero_copy_only=False)
-                    doc, field, length, term, tf = _flat(part, len(names), n_terms)
-                    value = weight[field] * idf[term] * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * length / avg[field]))
+                    doc, field, length, term, tf = _flat(part, len(names), n_terms, lengths)
+                    part_value = value(field, length, tf, idf[term])
                     size = start[term + 1] - start[term]
                     total = np.zeros(n * len(part))
                     ends = np.cumsum(size)
                     for a, b in _pieces(ends, CELLS):
                         each = np.repeat(np.arange(a, b), size[a:b])
                         nth = np.arange(len(each)) - np.repeat(ends[a:b] - size[a:b] - (ends[a - 1] if a else 0), size[a:b])
-                        total += np.bincount(query[start[term[each]] + nth] * len(part) + doc[each], weights=value[each], minlength=len(total))
+                        at = start[term[each]] + nth
+                        total += np.bincount(query[at] * len(part) + doc[each], weights=part_value[each] * times[at], minlength=len(total))
                     total = total.reshape(n, len(part))
                     out = []
                     for q in np.flatnonzero(total.max(axis=1) > 0):
@@ -194,7 +213,7 @@ class Lexical:
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column("doc_id").take(pa.array(at)), pa.array(total[q, at])], ["query_id", "doc_id", "score"])
 
         kind = f"query_id {self.queries.schema['query_id'].dataType.simpleString()}, doc_id {self.counts.schema['doc_id'].dataType.simpleString()}, score double"
-        found = self.counts.mapInArrow(run, kind).select("query_id", "doc_id", F.round("score", 6).alias("score")).where("score > 0")
+        found = self.counts.mapInArrow(run, kind).select("query_id", "doc_id", F.round("score", 6).alias("score"))
         return R.top_k(found, k, descending_ids)
 
 

@@ -94,9 +94,7 @@ TOP = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def _tfidf(spark, d):
-    queries = _queries(spark, d, False)
-    index = R.postings(_docs(spark, d), {"body": F.col("text")}, bigrams=False, only=queries)
-    return R.tfidf(index, R.idf_table(index, _n(spark, d), max_share=1.0), queries, 10)
+    return X.Lexical(_docs(spark, d), {"body": F.col("text")}, _queries(spark, d, False), bigrams=False).tfidf(10)
 
 
 def _fingerprints(spark, d):

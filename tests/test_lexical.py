@@ -51,3 +51,27 @@ def test_no_queries_or_documents(spark):
     docs, fields, queries = tables(spark)
     assert X.Lexical(docs, fields, queries.where("false")).bm25(WEIGHTS, 3).count() == 0
     assert X.Lexical(docs.where("false"), fields, queries).bm25(WEIGHTS, 3).count() == 0
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 40])
+def test_tfidf_against_joins(spark, monkeypatch, cells):
+    """Repeated query terms count as often; rows that share an id are one document; no row is made for a word."""
+    monkeypatch.setattr(X, "CELLS", cells)
+    docs, fields, _ = tables(spark)
+    body = {"body": fields["body"]}
+    rows = [(k, t) for k, ts in enumerate(["alpha alpha beta", "gamma+ x1 x1 x1", "delta", "never met"]) for t in ts.split()]
+    queries = spark.createDataFrame(rows, "query_id int, term string")
+    index = R.postings(docs, body, False).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    want = R.tfidf(index, R.idf_table(index, docs.agg(F.count(F.lit(1)).alias("n")), max_share=1.0), queries, 4)
+    got = X.Lexical(docs, body, queries, bigrams=False).tfidf(4)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    assert key(got) == key(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_tfidf_query_makes_no_row_for_a_word(spark, sf):
+    from lodespark.plans import registry
+
+    plan = registry()["tfidf_log_search"][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" in plan
