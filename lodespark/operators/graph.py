@@ -24,12 +24,17 @@ def neighbors(edges: DataFrame, starts: DataFrame, etypes: list[str] | None = No
     return rows.join(starts, "node", "left_semi").distinct()
 
 
-def related(edges: DataFrame, weights: dict[str, float], starts: DataFrame, top: int) -> DataFrame:
+def related(edges: DataFrame, weights: dict[str, float], starts: DataFrame, top: int, hubs: tuple[str, ...] = ()) -> DataFrame:
     """(node, other, score): nodes that share targets with a start, by the weighted number of shared targets.
 
-    Hub targets are shared by everybody and would square; the start side keeps only the wanted starts, so the join has
-    at most (starts' edges) x (edges of their targets) rows, and these are counted before they are ranked.
+    The start side keeps only the wanted starts, so the join has at most (starts' edges) x (edges of their targets) rows,
+    and these are counted before they are ranked. Targets of the types ``hubs`` are shared by many and would square:
+    nodes with the same such targets are one class, and only its first top + 1 members meet the starts. Any other that
+    shares nothing else with a start has as many before it with its score and a smaller id.
     """
+    weights = {t: float(x) for t, x in weights.items()}
+    if hubs:
+        return _related_by_hubs(edges, weights, starts, top, hubs)
     e = edges.where(F.col("etype").isin(*weights)).select("src", "dst", "etype").distinct()
     mine = e.join(starts.select(F.col("node").alias("src")), "src", "left_semi")
     w = F.coalesce(*(F.when(F.col("etype") == t, F.lit(float(x))) for t, x in weights.items()))
@@ -39,6 +44,27 @@ def related(edges: DataFrame, weights: dict[str, float], starts: DataFrame, top:
     return scores.withColumn("rank", place).where(F.col("rank") <= top)
 
 
+def _related_by_hubs(edges: DataFrame, weights: dict[str, float], starts: DataFrame, top: int, hubs: tuple[str, ...]) -> DataFrame:
+    e = edges.where(F.col("etype").isin(*weights)).select("src", "dst", "etype").where("src IS NOT NULL AND dst IS NOT NULL")
+    asked = starts.select(F.col("node").alias("src")).distinct()
+    weight = lambda t: F.coalesce(*(F.when(t == n, F.lit(x)) for n, x in weights.items()))
+    light = e.where(~F.col("etype").isin(*hubs)).distinct()
+    mine = light.join(asked, "src", "left_semi").select(F.col("src").alias("node"), "dst", "etype")
+    met = mine.join(light.select(F.col("src").alias("other"), "dst", "etype"), ["dst", "etype"]).where("node <> other")
+    met = met.groupBy("node", "other").agg(F.sum(weight(F.col("etype"))).alias("score"))
+    of = e.where(F.col("etype").isin(*hubs)).groupBy("src").agg(F.sort_array(F.collect_set(F.struct("etype", "dst"))).alias("to"))
+    own = of.join(asked, "src", "left_semi").select(F.col("src").alias("node"), "to")
+    nth = F.row_number().over(Window.partitionBy("to").orderBy("src"))
+    first = of.withColumn("nth", nth).where(F.col("nth") <= top + 1).groupBy("to").agg(F.collect_list("src").alias("members"))
+    classes = own.select("node", F.explode("to").alias("t")).join(first.select("members", F.explode("to").alias("t")), "t").select("node", F.explode("members").alias("other"))
+    pairs = met.unionByName(classes.where("node <> other").distinct().select("node", "other", F.lit(0.0).alias("score"))).groupBy("node", "other").agg(F.sum("score").alias("score"))
+    both = pairs.join(own, "node", "left").join(of.select(F.col("src").alias("other"), F.col("to").alias("its")), "other", "left")
+    shared = F.aggregate(F.array_intersect("to", "its"), F.lit(0.0), lambda s, t: s + weight(t["etype"]))
+    scores = both.select("node", "other", F.round(F.col("score") + F.coalesce(shared, F.lit(0.0)), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("score").desc(), "other"))
+    return scores.withColumn("rank", place).where(F.col("rank") <= top)
+
+
 def bfs(edges: DataFrame, starts: DataFrame, depth: int, directed: bool = True) -> DataFrame:
     """(start, node, hops): nodes within ``depth`` hops of each start at their least distance, the start itself at 0."""
     e = (edges if directed else both_ways(edges)).select("src", "dst").distinct()

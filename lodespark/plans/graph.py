@@ -51,7 +51,7 @@ def _layers(spark, d):
 QUERIES = {
     "neighbors": (lambda s, d: G.neighbors(S.edges(s, d), _customers(s, d), ["uses", "located_in"]), f"{W}, {STARTS} SELECT DISTINCT src AS node, dst AS neighbor, etype FROM edges JOIN starts ON src = node WHERE etype IN ('uses', 'located_in') UNION SELECT dst, src, etype FROM edges JOIN starts ON dst = node WHERE etype IN ('uses', 'located_in')"),
     "shared_concept_rank": (
-        lambda s, d: G.related(S.edges(s, d), {"uses": 3.0, "located_in": 1.0}, _customers(s, d), 10),
+        lambda s, d: G.related(S.edges(s, d), {"uses": 3.0, "located_in": 1.0}, _customers(s, d), 10, hubs=("located_in",)),
         f"{W}, {STARTS}, p AS (SELECT a.src AS node, b.src AS other, round(sum(CASE a.etype WHEN 'uses' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score FROM edges a JOIN edges b ON a.dst = b.dst AND a.etype = b.etype AND a.src <> b.src WHERE a.src IN (SELECT node FROM starts) AND a.etype IN ('uses', 'located_in') GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS rank FROM p) WHERE rank <= 10",
     ),
     "bfs_depth": (

@@ -124,3 +124,20 @@ def test_members_of_a_class_come_in_parts(spark, monkeypatch):
     rows = P.class_features(df.where("id % 2 = 0"), df)
     assert rows.selectExpr("max(size(a))", "max(size(b))").first() == (7, 7)
     assert {(r.a, r.b) for r in P.members_met(rows).collect()} == {(a, b) for a in range(0, 50, 2) for b in range(50) if a != b}
+
+
+def test_related_by_hubs_equals_all_pairs(spark):
+    """Nodes that share a hub are not all paired; several hubs, nodes without one, and ties, held against the plain join."""
+    from lodespark.operators import graph as G
+
+    rnd = __import__("random").Random(4)
+    rows = [(f"c{k:03}", f"p{rnd.randrange(200)}", "uses") for k in range(400) for _ in range(k % 4)]
+    rows += [(f"c{k:03}", f"n{h}", "in") for k in range(400) for h in {k % 3, k % 7 % 3} if k % 10]
+    edges = spark.createDataFrame(rows, "src string, dst string, etype string").selectExpr("*", "1.0D AS confidence")
+    starts = spark.createDataFrame([(f"c{k:03}",) for k in range(1, 400, 13)], "node string")
+    weights = {"uses": 3.0, "in": 1.0}
+    got, most = most_rows(G.related(edges, weights, starts, 5, hubs=("in",)))
+    want, all_pairs = most_rows(G.related(edges, weights, starts, 5))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 50
+    one, few = most_rows(G.related(edges.where("etype = 'in'"), weights, spark.createDataFrame([("c001",), ("c002",)], "node string"), 5, hubs=("in",)))
+    assert len(one) == 10 and few <= len(rows)
