@@ -77,19 +77,28 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, directed: bool = True)
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
-    """(path, hops): simple undirected paths from starts to targets; a path ends at the first target. The last hop only follows edges into targets, so hubs do not fan out there."""
-    e = both_ways(edges).select("src", "dst").distinct()
-    goal = targets.select(F.col("node").alias("end"))
-    last = e.join(goal, F.col("dst") == F.col("end"), "left_semi")
-    live = starts.select(F.array("node").alias("path"))
+    """(path, hops): simple undirected paths from starts to targets; a path ends at the first target.
+
+    A hop only follows edges to nodes that are near enough to a target for the hops that are left, so hubs do not fan out
+    into what leads nowhere. Paths are made distinct, not the edges, of which there are more.
+    """
+    both = both_ways(edges).select("src", "dst")
+    goal = targets.select(F.col("node").alias("end")).distinct()
+    steps, near = [], goal
+    for left in range(depth):  # from the last hop on: edges into what is so many hops from a target
+        steps.append(both if left == depth - 1 else both.join(near, F.col("dst") == F.col("end"), "left_semi"))
+        if left < depth - 2:
+            near = near.union(steps[-1].select("src")).distinct()
+    live = starts.select(F.array("node").alias("path")).distinct()
     found = None
-    for hop in range(depth):
-        live = live.withColumn("src", F.element_at("path", -1)).join(e if hop < depth - 1 else last, "src").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+    for e in reversed(steps):
+        live = live.withColumn("src", F.element_at("path", -1)).join(e, "src").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")).distinct()
         end = F.element_at("path", -1)
         hit = live.join(goal, end == F.col("end"), "left_semi")
         found = hit if found is None else found.unionByName(hit)
         live = live.join(goal, end == F.col("end"), "left_anti")
-    return found.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
+    each = found.join(starts.select(F.col("node").alias("start")), F.get("path", F.lit(0)) == F.col("start"))  # a start that stands there twice has its paths twice
+    return each.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
 
 
 def metapath(edges: DataFrame, steps: list[tuple[str, bool]], least: float = 0.1, weight: float = 1.0, backward: bool = False) -> DataFrame:

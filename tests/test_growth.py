@@ -141,3 +141,17 @@ def test_related_by_hubs_equals_all_pairs(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 50
     one, few = most_rows(G.related(edges.where("etype = 'in'"), weights, spark.createDataFrame([("c001",), ("c002",)], "node string"), 5, hubs=("in",)))
     assert len(one) == 10 and few <= len(rows)
+
+
+def test_paths_do_not_fan_out_where_no_target_is_near(spark):
+    """50 starts and 1950 others at one hub, and a target behind another node: no path from the hub to the others is made."""
+    from lodespark.operators import graph as G
+
+    rows = [(f"c{k}", "hub") for k in range(2000)] + [("c0", "p"), ("p", "q"), ("q", "s"), ("hub", "s")]
+    edges = spark.createDataFrame(rows, "src string, dst string").selectExpr("*", "'t' AS etype", "1.0D AS confidence")
+    nodes = lambda *n: spark.createDataFrame([(x,) for x in n], "node string")
+    paths, most = most_rows(G.simple_paths(edges, nodes(*(f"c{k}" for k in range(50))), nodes("s"), 3))
+    assert sorted(r.path for r in paths) == sorted([f"c{k}>hub>s" for k in range(50)] + ["c0>p>q>s"])
+    assert most < 10_000  # of 100,000 walks of two steps
+    twice = G.simple_paths(edges.union(edges.where("src = 'c0'")), nodes("c0", "c0", "c1"), nodes("s", "s"), 3)
+    assert sorted(r.path for r in twice.collect()) == ["c0>hub>s", "c0>hub>s", "c0>p>q>s", "c0>p>q>s", "c1>hub>s"]
