@@ -44,3 +44,10 @@ def test_votes_of_a_table_equal_its_sql_at_half_places(spark, duck, tmp_path):
     duck.execute(f"CREATE TEMP VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     query, sql = registry()["vote_ensemble"]
     assert [tuple(r) for r in query(spark, str(tmp_path)).collect()] == duck.execute(sql).fetchall()
+
+
+def test_placed_silver_votes_are_added_in_their_order(spark):
+    rows = [(1, 2, c, False, i) for i, c in enumerate([0.6] * 1 + [0.7] * 3)]
+    df = spark.createDataFrame(rows, "pair int, vote int, confidence double, hard boolean, place int").repartition(3)
+    assert L.silver_labels(df).first()["confidence"] == 0.837
+    assert L.silver_labels(df.drop("place")).first()["confidence"] == 0.838  # of the exact sum
